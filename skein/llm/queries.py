@@ -6,20 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, line_dedup, media
+from ..session import ship
+from . import chat_format, decontaminate, language_id, license_scan, line_dedup, media, token_counts
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    plain = {
+        "op1_license_scan": license_scan.query,
         "op3_media_columns": media.query,
         "op4_line_dedup": line_dedup.query,
+        "op5_decontaminate": decontaminate.query,
+        "op6_token_counts": token_counts.query,
         "op7_language_id": language_id.query,
         "op8_chat_format": chat_format.query,
     }
+    return {name: _shipped(query) for name, query in plain.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": license_scan.SQL,
         "op4_line_dedup": line_dedup.SQL,
+        "op5_decontaminate": decontaminate.SQL,
         "op8_chat_format": chat_format.SQL,
     }
