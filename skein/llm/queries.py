@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat_format, decontaminate, language_id, license_scan, line_dedup, media, token_counts
+from . import chat_format, decontaminate, language_id, license_scan, line_dedup, media, sentencepiece_codec, substring_dedup, token_counts
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,8 @@ def queries() -> dict[str, Query]:
         "op6_token_counts": token_counts.query,
         "op7_language_id": language_id.query,
         "op8_chat_format": chat_format.query,
+        "op9_sentencepiece": sentencepiece_codec.query,
+        "op10_substring_dedup": substring_dedup.query,
     }
     return {name: _shipped(query) for name, query in plain.items()}
 
@@ -40,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": line_dedup.SQL,
         "op5_decontaminate": decontaminate.SQL,
         "op8_chat_format": chat_format.SQL,
+        "op10_substring_dedup": substring_dedup.SQL,
     }
