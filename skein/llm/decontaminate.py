@@ -148,6 +148,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
+def count_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with n_items, the number of items found in each row; a column of that name is replaced."""
+    spark, out = docs.sparkSession, docs.drop("n_items").withColumn("n_items", F.lit(0).cast("long"))
+    for items in blocks(benchmark):
+        sent = spark.sparkContext.broadcast(make_block(items, threshold))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            block = sent.value
+            for batch in batches:
+                n = np.array(batch.column("n_items").to_numpy())
+                for d, *_ in search(utf8(batch.column(batch.schema.get_field_index("text"))), block, threshold):
+                    n[d] += 1
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=batch.schema.names)
+
+        out = out.mapInArrow(run, out.schema)
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that it contains."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -9,7 +9,7 @@ up comes within ``MIN_MARGIN`` of the winner.
 Nulls, ties and edges: a null text, or one without a letter, is ``und`` with
 score 0 and rejected; ties go to the language that sorts first; null labels are
 never learned; with nothing to learn from, every text is ``und``; repeated rows
-and a null doc_id get a result row each; other columns are not read.
+and a null doc_id get a result row each; other columns pass through.
 """
 
 from __future__ import annotations
@@ -78,11 +78,12 @@ def fit(labelled: DataFrame) -> dict[str, bytes]:
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and accepted.
+    """``docs`` with lang_pred, score (0 to 1) and accepted; columns of these names are replaced.
 
     The dictionaries are ``DICT_BYTES`` for each language, so what is sent to
     the executors does not grow with the documents.
     """
+    docs = docs.drop("lang_pred", "score", "accepted")
     names = sorted(dictionaries)
     sent = docs.sparkSession.sparkContext.broadcast([dictionaries[k] for k in names])
     out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])

@@ -10,7 +10,7 @@ stays.  Besides the rules, three base phrases are counted everywhere.
 Nulls, ties and edges: a null text is empty, with 0 words, no place (null first
 and last word), empty labels and score 0; repeated rows and a null doc_id get a
 result row each; phrases may overlap and are all counted; an empty table gives
-an empty result; other columns are not read.
+an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -213,8 +213,9 @@ def _suppress(found: Column) -> Column:
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """``docs`` with n_words, the base phrases' columns, detections, labels and score.
 
-    Detections are structs of label, first word, word after the last, rule and confidence.
+    Columns of these names are replaced.  Detections are structs of label, first word, word after the last, rule and confidence.
     """
+    docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "detections", "labels", "score", "_spaced", "_found", "_kept", "_labels", *[f"_base{i}" for i in range(len(BASE))])
     table = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(i).alias("id")) for i, r in enumerate(rules)])
     told = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.name).alias("name"), F.lit(r.confidence).alias("confidence")) for r in rules])
     spaced = F.col("_spaced")

@@ -111,10 +111,11 @@ class LineRuns:
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
-    """``docs`` with its text less the lines that ``min_docs`` documents hold, and columns n_lines and n_dropped.
+    """``docs`` with its text less the lines that ``min_docs`` documents hold, and columns n_lines and n_dropped (such columns are replaced).
 
     ``runs`` may hold earlier batches, which count too; these documents are added to it.
     """
+    docs = docs.drop("n_lines", "n_dropped", "_id", "_common")
     runs = runs or LineRuns(docs.sparkSession)
     part = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches))
     for i in range(batches):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat_format, decontaminate, language_id, license_scan, line_dedup, media, sentencepiece_codec, substring_dedup, token_counts
+from . import chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup, media, sentencepiece_codec, substring_dedup, token_counts
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def _shipped(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     plain = {
         "op1_license_scan": license_scan.query,
+        "op2_jaccard_join": jaccard_join.query,
         "op3_media_columns": media.query,
         "op4_line_dedup": line_dedup.query,
         "op5_decontaminate": decontaminate.query,
@@ -39,6 +40,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan.SQL,
+        "op2_jaccard_join": jaccard_join.SQL,
         "op4_line_dedup": line_dedup.SQL,
         "op5_decontaminate": decontaminate.SQL,
         "op8_chat_format": chat_format.SQL,

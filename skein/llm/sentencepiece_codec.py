@@ -342,7 +342,8 @@ def codec(path: str, kind: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe") -> DataFrame:
-    """``docs`` with ids (array of int, null for a null text), n_pieces, and the digest of what the ids decode to."""
+    """``docs`` with ids (array of int, null for a null text), n_pieces, and the digest of what the ids decode to; columns of these names are replaced."""
+    docs = docs.drop("ids", "n_pieces", "decoded_sha256", "round_trip")
     out = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

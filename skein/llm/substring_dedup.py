@@ -216,7 +216,8 @@ def marks(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with its text's words joined by one space less those under a marked window, and columns n_words and n_removed."""
+    """``docs`` with its text's words joined by one space less those under a marked window, and columns n_words and n_removed (such columns are replaced)."""
+    docs = docs.drop("n_words", "n_removed", "_id", "_hash", "_places")
     scratch = Scratch(docs.sparkSession, "substrings")
     per_doc = marks(docs, scratch, window).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list("places").alias("_places"))
     own_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
