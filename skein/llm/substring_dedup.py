@@ -198,7 +198,7 @@ def _subtree(table: pa.Table) -> pa.Table:
     at = at[np.lexsort((texts[at], ids[at]))]
     ids, texts, places = ids[at], texts[at], places[at].astype(np.uint32)
     cut = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])))) if len(at) else np.empty(0, np.int64)
-    ends = np.append(cut[1:], len(at)).astype(np.int64)
+    ends = np.append(cut, len(at))[1:]
     return pa.table({"doc_id": pa.array(ids[cut]), "text_hash": pa.array(texts[cut]), "places": pa.array([places[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
 
 
