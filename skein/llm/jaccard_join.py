@@ -10,8 +10,9 @@ with the same prefix and size are a group, and the join runs over groups:
 2. Prefixes of groups become postings by shingle.  Size and position filters
    bound the overlap that a pair can still reach.
 3. Neighbours in a posting list (by size) are verified first, and the links make
-   components.  So a large group of near copies costs one pair for each member
-   and shingle, not all pairs.
+   components.  In two more rounds each group tries a neighbour of another
+   component in a random order of every list.  So a large group of near copies
+   costs a few pairs for each member and shingle, not all pairs.
 4. Group pairs that share a shingle but not a component are expanded to their
    members and verified, which leaves no link between components out.
 
@@ -43,6 +44,8 @@ PERCENT = 80
 SHINGLE = 5
 #: Cells of the frequency histogram: what is sent to every executor, fixed.
 CELL_BITS = 18
+#: Rounds of random neighbours between the first and the last pass.
+ROUNDS = 2
 _ROWS = 64
 
 
@@ -118,6 +121,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scrat
     wanted = wanted.join(classes.select("cid", "rep"), "cid")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").select("cid", "text")
     texts = scratch.save(texts, "texts")
+    scratch.tidy()
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +137,11 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scrat
                         keep.append(i)
                 yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return scratch.save(both.mapInArrow(run, "a long, b long"), "links")
+    links = scratch.save(both.mapInArrow(run, "a long, b long"), "links")
+    for done in (pairs, texts):
+        scratch.drop(done)
+    scratch.tidy()
+    return links
 
 
 def link_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -149,6 +157,8 @@ def link_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> t
     near = Window.partitionBy("tok").orderBy("n", "gid")
     shared = postings.withColumns({"gid0": F.lag("gid").over(near), "n0": F.lag("n").over(near), "p0": F.lag("p").over(near), "gid1": F.lead("gid").over(near)})
     shared = scratch.save(shared.where("gid0 IS NOT NULL OR gid1 IS NOT NULL").drop("gid1"), "postings")
+    slim = scratch.save(sigs.select("doc_id", "n", "cid"), "sizes")
+    scratch.drop(sigs)
     scratch.tidy()
     # first pass: neighbours
     main = classes.groupBy("gid").agg(F.min("cid").alias("cid"))
@@ -158,14 +168,21 @@ def link_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> t
     ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     tried = scratch.save(pairs.unionByName(within).select(*ordered).distinct(), "tried")
     links = verify(tried, classes, docs, scratch, percent, k)
-    scratch.tidy()
-    roots = components(links, scratch)
-    placed = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root"))
-    placed = scratch.save(placed, "placed")
-    # second pass: group pairs across components
-    spans = placed.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    over = Window.partitionBy("tok")
-    open_ = shared.select("tok", "gid", "n", "p").join(spans, "gid").withColumns({"t0": F.min("r0").over(over), "t1": F.max("r1").over(over)}).where("t0 < t1").drop("t0", "t1")
+    placed = _place(classes, links, scratch)
+    # more rounds: a neighbour of another component, in an order of each list that no other list has
+    apart = "NOT (r0 = r1 AND q0 = q1 AND r0 = q0)"
+    for turn in range(ROUNDS):
+        random = Window.partitionBy("tok").orderBy(F.xxhash64("gid", "tok", F.lit(turn)), "gid")
+        near = _open(shared, placed).withColumns({"gid0": F.lag("gid").over(random), "n0": F.lag("n").over(random), "p0": F.lag("p").over(random), "q0": F.lag("r0").over(random), "q1": F.lag("r1").over(random)})
+        pairs = near.where(f"gid0 IS NOT NULL AND {apart} AND " + _may_link("n0", "p0", "n", "p", percent)).select("gid0", "gid").distinct()
+        pairs = pairs.join(main.select(F.col("gid").alias("gid0"), F.col("cid").alias("x")), "gid0").join(main.select("gid", F.col("cid").alias("y")), "gid").select(*ordered).distinct()
+        new = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"), "new")
+        tried = scratch.save(tried.unionByName(new), "tried")
+        links = scratch.save(links.unionByName(verify(new, classes, docs, scratch, percent, k)), "links")
+        placed = _place(classes, links, scratch)
+    # last pass: group pairs across components
+    spans = _spans(placed)
+    open_ = _open(shared, placed)
     left, right = (open_.select("tok", *[F.col(c).alias(c + s) for c in ("gid", "n", "p", "r0", "r1")]) for s in ("x", "y"))
     crossing = left.join(right, "tok").where("gidx < gidy AND NOT (r0x = r1x AND r0y = r1y AND r0x = r0y) AND " + _may_link("nx", "px", "ny", "py", percent)).select("gidx", "gidy").distinct()
     x, y = (placed.select(F.col("gid").alias("gid" + s), F.col("cid").alias(s), F.col("root").alias("r" + s)) for s in ("x", "y"))
@@ -175,7 +192,25 @@ def link_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> t
     rest = expanded.unionByName(inner).select(*ordered).distinct().join(tried, ["a", "b"], "left_anti")
     more = verify(rest, classes, docs, scratch, percent, k)
     scratch.tidy()
-    return sigs.select("doc_id", "n", "cid"), classes, links.unionByName(more)
+    return slim, classes, links.unionByName(more)
+
+
+def _place(classes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cid, gid, n, root): classes with the component that the links so far put them in."""
+    roots = components(links, scratch)
+    return scratch.save(classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root")), "placed")
+
+
+def _spans(placed: DataFrame) -> DataFrame:
+    """The smallest and largest component of each group's classes."""
+    return placed.groupBy("gid").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+
+
+def _open(shared: DataFrame, placed: DataFrame) -> DataFrame:
+    """Postings (tok, gid, n, p, r0, r1) of the shingles that more than one component holds."""
+    over = Window.partitionBy("tok")
+    marked = shared.select("tok", "gid", "n", "p").join(_spans(placed), "gid")
+    return marked.withColumns({"t0": F.min("r0").over(over), "t1": F.max("r1").over(over)}).where("t0 < t1").drop("t0", "t1")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
