@@ -53,7 +53,7 @@ _SEARCH = _FOUR + f""", words AS (
 _EXCERPT = "substr(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), 1, {})"
 _COMPLETE = """, complete AS (
   SELECT f.*, coalesce(lacking, 0) = 0 AS complete FROM files f LEFT JOIN (
-    SELECT source_file_id AS id, c.generation AS active_generation, count(*) FILTER (WHERE v.chunk_id IS NULL) AS lacking
+    SELECT c.source_file_id AS id, c.generation AS active_generation, count(*) FILTER (WHERE v.chunk_id IS NULL) AS lacking
     FROM chunks c LEFT JOIN (SELECT * FROM vectors WHERE embedding_space_id = 'space-a') v ON v.chunk_id = c.chunk_id AND v.embedding_input_hash = c.embedding_input_hash
     GROUP BY ALL) USING (id, active_generation)
 ), scan AS (
@@ -175,7 +175,7 @@ FROM files f LEFT JOIN chunks c ON c.source_file_id = f.id AND c.generation = f.
 FROM active a LEFT JOIN vectors v USING (chunk_id) GROUP BY ALL""",
     "stuck_tasks": """SELECT id, source_id, status, age_seconds FROM (
   SELECT *, (epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(CASE WHEN status = 'running' THEN coalesce(started_at, requested_at) ELSE requested_at END))::BIGINT AS age_seconds FROM jobs WHERE status IN ('queued', 'running')) WHERE age_seconds > 900""",
-    "retry_due": """SELECT id, next_at, coalesce(next_at <= epoch(TIMESTAMP '2024-02-01 00:00:00'), true) AS due FROM (
+    "retry_due": """SELECT id, coalesce(next_at, -1) AS next_at, coalesce(next_at <= epoch(TIMESTAMP '2024-02-01 00:00:00'), true) AS due FROM (
   SELECT id, (epoch(last_scan_at) + CASE WHEN last_error IN ('HTTP 401', 'HTTP 402', 'HTTP 403') THEN 3600 ELSE 600 END)::BIGINT AS next_at FROM sources WHERE auto_sync)""",
     "preview_estimate": """SELECT source_id, n_files, n_bytes, n_chunks, n_tokens, round(n_tokens / 1e6 * 0.02::DOUBLE, 4) AS cost FROM (
   SELECT source_id, count(*) AS n_files, sum(size)::BIGINT AS n_bytes, sum(greatest(1, ceil(size / 2400.0::DOUBLE)))::BIGINT AS n_chunks, sum(size // 2)::BIGINT AS n_tokens FROM files GROUP BY 1)""",

@@ -470,7 +470,7 @@ def stuck_tasks(t: Tables) -> DataFrame:
 def retry_due(t: Tables) -> DataFrame:
     s = t.sources()
     at, is_due = reconcile.due(F.col("last_scan_at"), F.col("last_error"), F.lit(NOW).cast("timestamp"), 600)
-    return s.where("auto_sync").select("id", F.unix_seconds(at).alias("next_at"), is_due.alias("due"))
+    return s.where("auto_sync").select("id", F.coalesce(F.unix_seconds(at), F.lit(-1)).cast("long").alias("next_at"), is_due.alias("due"))
 
 
 @query
