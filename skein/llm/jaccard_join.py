@@ -10,11 +10,11 @@ with the same prefix and size are a group, and the join runs over groups:
 2. Prefixes of groups become postings by shingle.  Size and position filters
    bound the overlap that a pair can still reach.
 3. Neighbours in a posting list (by size) are verified first, and the links make
-   components.  In two more rounds each group tries a neighbour of another
+   components.  In a few more rounds each group tries a neighbour of another
    component in a random order of every list.  So a large group of near copies
    costs a few pairs for each member and shingle, not all pairs.
-4. Group pairs that share a shingle but not a component are expanded to their
-   members and verified, which leaves no link between components out.
+4. Group pairs that share a shingle but not a component, and whose known overlap
+   leaves a link possible, are expanded to their members and verified, which leaves no link between components out.
 
 Verification counts the intersection of the whole sets.
 
@@ -45,7 +45,7 @@ SHINGLE = 5
 #: Cells of the frequency histogram: what is sent to every executor, fixed.
 CELL_BITS = 18
 #: Rounds of random neighbours between the first and the last pass.
-ROUNDS = 2
+ROUNDS = 3
 _ROWS = 64
 
 
@@ -184,7 +184,10 @@ def link_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> t
     spans = _spans(placed)
     open_ = _open(shared, placed)
     left, right = (open_.select("tok", *[F.col(c).alias(c + s) for c in ("gid", "n", "p", "r0", "r1")]) for s in ("x", "y"))
-    crossing = left.join(right, "tok").where("gidx < gidy AND NOT (r0x = r1x AND r0y = r1y AND r0x = r0y) AND " + _may_link("nx", "px", "ny", "py", percent)).select("gidx", "gidy").distinct()
+    crossing = left.join(right, "tok").where("gidx < gidy AND NOT (r0x = r1x AND r0y = r1y AND r0x = r0y) AND " + _may_link("nx", "px", "ny", "py", percent))
+    # shingles of a pair that pass come first among those it shares: up to the last of them the overlap is known
+    crossing = crossing.groupBy("gidx", "gidy").agg(F.count(F.lit(1)).alias("c"), F.max("px").alias("px"), F.max("py").alias("py"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    crossing = crossing.where(f"{100 + percent} * (c + least(nx - 1 - px, ny - 1 - py)) >= {percent} * (nx + ny)").select("gidx", "gidy")
     x, y = (placed.select(F.col("gid").alias("gid" + s), F.col("cid").alias(s), F.col("root").alias("r" + s)) for s in ("x", "y"))
     expanded = crossing.join(x, "gidx").join(y, "gidy").where("rx <> ry").select("x", "y")
     mixed = spans.where("r0 < r1").select("gid")
