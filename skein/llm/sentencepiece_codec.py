@@ -118,7 +118,8 @@ class Codec:
             rank = np.empty(n, np.uint64)
             rank[order] = np.concatenate(([1], 1 + np.cumsum(ahead[1:] != ahead[:-1]))) if n else []
             key = rank << np.uint64(32)
-            key[: n - depth] |= rank[depth:]
+            if n > depth:
+                key[: n - depth] |= rank[depth:]
             depth *= 2
 
     def ranges(self, windows: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
