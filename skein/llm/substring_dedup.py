@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,16 +105,25 @@ def deal(cells: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
     return group, parts
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.compress(a.tobytes(), 1)
+#: Documents and, of each, places: ids and counts are packed by steps, which compress to about a byte.
+_PACKED = ("doc_ids", "texts", "counts", "places")
+_DEALT = "grp long, " + ", ".join(f"{k} binary" for k in _PACKED)
 
 
-def _unpack(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), dtype=kind)
+def _pack(doc_id: np.ndarray, text: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """Suffixes, those of a document together and in ascending places, as four binaries."""
+    first = np.flatnonzero(np.concatenate(([True], (doc_id[1:] != doc_id[:-1]) | (text[1:] != text[:-1]))))
+    steps = np.diff(place, prepend=place[:1])
+    steps[first] = place[first]
+    parts = np.diff(doc_id[first], prepend=0), text[first].astype("<u4"), np.diff(np.append(first, len(place))).astype("<u4"), steps.astype("<u4")
+    return tuple(zstandard.compress(np.ascontiguousarray(x).tobytes(), 1) for x in parts)
 
 
-#: doc_ids, texts: the documents; counts: suffixes of each; hashes, places: the suffixes.  A settled row has no hashes.
-_DEALT = "grp long, doc_ids binary, texts binary, counts binary, places binary, hashes binary"
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, text, place) of each suffix of a packed row."""
+    doc_id, text, counts, steps = (np.frombuffer(zstandard.decompress(row[k]), kind).astype(np.int64) for k, kind in zip(_PACKED, ("<i8", "<u4", "<u4", "<u4"), strict=True))
+    run, first = np.cumsum(steps), np.cumsum(counts) - counts
+    return np.repeat(np.cumsum(doc_id), counts), np.repeat(text, counts), run - np.repeat(run[first] - steps[first], counts)
 
 
 def _send(docs: DataFrame, group: np.ndarray, parts: np.ndarray, window: int) -> DataFrame:
@@ -135,7 +144,7 @@ def _send(docs: DataFrame, group: np.ndarray, parts: np.ndarray, window: int) ->
         known = np.array([i is not None for i in ids])
         doc_id = np.array([i or 0 for i in ids], dtype=np.int64)
         text = np.array(batch.column("text_hash").to_pylist(), dtype=np.int64)
-        found = [(h[k], d[k], p[k].astype(np.uint32), c[k]) for _, h, d, p, c in _suffixes([t if k else None for t, k in zip(texts, known, strict=True)], window) for k in [known[d]]]
+        found = [(h[k], d[k], p[k].astype(np.int64), c[k]) for _, h, d, p, c in _suffixes([t if k else None for t, k in zip(texts, known, strict=True)], window) for k in [known[d]]]
         if not found:
             return
         h, d, p, c = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -149,17 +158,13 @@ def _send(docs: DataFrame, group: np.ndarray, parts: np.ndarray, window: int) ->
         mine[order] = doc_id[d[order]] == least[np.cumsum(head) - 1]
         to = group[c] + (h % parts[c].astype(np.uint64)).astype(np.int64)
         # marks travel with the suffixes, dealt by document
-        to[~mine] = (text[d[~mine]] % groups + groups) % groups
+        to[~mine] = text[d[~mine]] % groups
         order = np.lexsort((d, ~mine, to))  # places ascend within a document: chunks are in order and the sort is stable
         h, d, p, to, mine = h[order], d[order], p[order], to[order], mine[order]
         cut = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (mine[1:] != mine[:-1]))))
         rows = []
         for a, b in zip(cut, [*cut[1:], len(to)], strict=True):
-            first = np.flatnonzero(np.concatenate(([True], d[a + 1 : b] != d[a : b - 1])))
-            own = d[a:b][first]
-            steps = np.diff(p[a:b], prepend=np.uint32(0))
-            steps[first] = p[a:b][first]
-            rows.append((int(to[a]), doc_id[own].tobytes(), text[own].tobytes(), _pack(np.diff(np.append(first, b - a)).astype(np.uint32)), _pack(steps), h[a:b].tobytes() if mine[a] else None))
+            rows.append((int(to[a]), *_pack(doc_id[d[a:b]], text[d[a:b]], p[a:b]), h[a:b].tobytes() if mine[a] else None))
             if len(rows) == 256:
                 yield _batch(rows)
                 rows = []
@@ -168,60 +173,74 @@ def _send(docs: DataFrame, group: np.ndarray, parts: np.ndarray, window: int) ->
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["grp", "doc_ids", "texts", "counts", "places", "hashes"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).mapInArrow(run, _DEALT)
-
-
-def _subtree(table: pa.Table) -> pa.Table:
-    """Marks of one group: (doc_id, text_hash, places) of the suffixes of its repeats whose document is not the smallest."""
-    ids, texts, places, hashes, open_ = [], [], [], [], []
-    for r in range(table.num_rows):
-        doc_ids, text, counts, steps, own = (table.column(k)[r].as_py() for k in ("doc_ids", "texts", "counts", "places", "hashes"))
-        counts = _unpack(counts, "<u4").astype(np.int64)
-        steps = _unpack(steps, "<u4").astype(np.int64)
-        run = np.cumsum(steps)
-        first = np.cumsum(counts) - counts
-        places.append(run - np.repeat(run[first] - steps[first], counts))
-        ids.append(np.repeat(np.frombuffer(doc_ids, "<i8"), counts)), texts.append(np.repeat(np.frombuffer(text, "<i8"), counts))
-        open_.append(np.full(len(steps), own is not None))
-        hashes.append(np.frombuffer(own, "<u8") if own is not None else np.zeros(len(steps), "<u8"))
-    ids, texts, places, hashes, open_ = (np.concatenate(x) for x in (ids, texts, places, hashes, open_))
-    marked = ~open_
-    at = np.flatnonzero(open_)
-    if len(at):
-        at = at[np.argsort(hashes[at])]
-        head = np.concatenate(([True], hashes[at][1:] != hashes[at][:-1]))
-        least = np.minimum.reduceat(ids[at], np.flatnonzero(head))
-        marked[at] = ids[at] > least[np.cumsum(head) - 1]
-    at = np.flatnonzero(marked)
-    at = at[np.lexsort((texts[at], ids[at]))]
-    ids, texts, places = ids[at], texts[at], places[at].astype(np.uint32)
-    cut = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])))) if len(at) else np.empty(0, np.int64)
-    ends = np.append(cut, len(at))[1:]
-    return pa.table({"doc_id": pa.array(ids[cut]), "text_hash": pa.array(texts[cut]), "places": pa.array([places[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["grp", *_PACKED, "hashes"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text", text_hash(F.col("text")).alias("text_hash")).mapInArrow(run, _DEALT + ", hashes binary")
+
+
+def _repeats(buckets: int):
+    """The work of a group: the suffixes of its repeats whose document is not the smallest, packed for buckets of documents."""
+
+    def subtree(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        parts = [_unpack(r) for r in rows]
+        ids, texts, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+        open_ = np.repeat([r["hashes"] is not None for r in rows], [len(x[0]) for x in parts])
+        hashes = np.concatenate([np.frombuffer(r["hashes"] or b"", "<u8") for r in rows])
+        del rows, parts
+        marked, at = ~open_, np.flatnonzero(open_)
+        if len(at):
+            order = np.argsort(hashes)
+            at, ordered = at[order], hashes[order]
+            head = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+            least = np.minimum.reduceat(ids[at], np.flatnonzero(head))
+            marked[at] = ids[at] > least[np.cumsum(head) - 1]
+        return _buckets(ids[marked], texts[marked], places[marked])
+
+    def _buckets(ids: np.ndarray, texts: np.ndarray, places: np.ndarray) -> pa.Table:
+        to = texts % buckets
+        order = np.lexsort((places, texts, ids, to))
+        ids, texts, places, to = ids[order], texts[order], places[order], to[order]
+        cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.empty(0, np.int64)
+        packed = [_pack(ids[a:b], texts[a:b], places[a:b]) for a, b in zip(cut, np.append(cut, len(to))[1:], strict=True)]
+        return pa.table([pa.array(to[cut], pa.int64()), *[pa.array([x[k] for x in packed], pa.binary()) for k in range(len(_PACKED))]], names=["grp", *_PACKED])
+
+    return subtree
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """Marks of a bucket's documents: (doc_id, text_hash, places), a row for each document."""
+    ids, texts, places = (np.concatenate(x) for x in zip(*map(_unpack, table.to_pylist()), strict=True))
+    order = np.lexsort((texts, ids))
+    ids, texts, places = ids[order], texts[order], places[order].astype("<u4")
+    cut = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]))))
+    return pa.table({"doc_id": pa.array(ids[cut]), "text_hash": pa.array(texts[cut]), "places": pa.array([places[a:b].tobytes() for a, b in zip(cut, np.append(cut, len(ids))[1:], strict=True)], pa.binary())})
+
+
+def text_hash(text: Column) -> Column:
+    """32 bits that tell the texts of rows with one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def marks(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_hash, places): starts of the windows that a smaller document has too; several rows of a document."""
+    """(doc_id, text_hash, places): starts of the windows that a smaller document has too."""
     cells = histogram(docs, window)
-    least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     target = max(1, min(GROUP_SUFFIXES, -(-int(cells.sum()) // least)))
     group, parts = deal(cells, target)
-    found = _send(docs, group, parts, window).groupBy("grp").applyInArrow(_subtree, "doc_id long, text_hash long, places binary")
+    found = _send(docs, group, parts, window).groupBy("grp").applyInArrow(_repeats(int((group + parts).max())), _DEALT)
     saved = scratch.save(found, "marks")
     del found
     scratch.tidy()
-    return saved
+    return saved.groupBy("grp").applyInArrow(_gather, "doc_id long, text_hash long, places binary")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with its text's words joined by one space less those under a marked window, and columns n_words and n_removed (such columns are replaced)."""
     docs = docs.drop("n_words", "n_removed", "_id", "_hash", "_places")
     scratch = Scratch(docs.sparkSession, "substrings")
-    per_doc = marks(docs, scratch, window).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list("places").alias("_places"))
-    own_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    both = docs.join(per_doc, (docs["doc_id"].cast("long") == per_doc["_id"]) & (own_hash == per_doc["_hash"]), "left").select(*docs.columns, "_places")
+    per_doc = marks(docs, scratch, window).toDF("_id", "_hash", "_places")
+    both = docs.join(per_doc, (docs["doc_id"].cast("long") == per_doc["_id"]) & (text_hash(docs["text"]) == per_doc["_hash"]), "left").select(*docs.columns, "_places")
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     at = docs.columns.index("text")
 
@@ -233,9 +252,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 for text, places in zip(utf8(part.column(at)), part.column("_places"), strict=True):
                     words = (text or b"").split()
                     n.append(len(words))
-                    blobs = places.as_py()
-                    if blobs:
-                        starts = np.frombuffer(b"".join(blobs), "<u4").astype(np.int64)
+                    blob = places.as_py()
+                    if blob:
+                        starts = np.frombuffer(blob, "<u4").astype(np.int64)
                         cover = np.zeros(len(words) + window + 1, np.int64)
                         np.add.at(cover, starts, 1)
                         np.add.at(cover, starts + window, -1)
