@@ -38,12 +38,12 @@ from .words import CHUNK_BYTES, chunks, hash_words, rolling, utf8
 
 WINDOW = 13
 #: Suffixes of a group at most, where its prefix can be longer.
-GROUP_SUFFIXES = 2_000_000
+GROUP_SUFFIXES = 1_000_000
 #: Bits of a word's hash in a prefix cell, and words of a prefix cell.
 BITS, DEPTH = 5, 3
 CELLS = 1 << (BITS * DEPTH)
 #: Bytes of text whose repeats are settled before anything is sent.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def _suffixes(texts: list[bytes | None], window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
