@@ -1,59 +1,5 @@
-"""Written intermediate tables in the folder that a cluster shares.
+"""Written intermediate tables in the folder that a cluster shares."""
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset,
-as in tests on one machine, a temporary folder is made and set.
-"""
+from ..sources.scratch import Scratch, shared_dir
 
-from __future__ import annotations
-
-import contextlib
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; its setting is read from the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        with contextlib.suppress(Exception):
-            found = context.getCheckpointDir()
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="spark-")
-            context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables of one run of an operator, under a folder name of its own."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
-
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write a table and read it again: the plan so far is cut, and a lost executor costs no more than the readers' own work."""
-        path = self.path(name)
-        df.write.option("compression", codec).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files of a table of this run that nothing reads any more."""
-        jvm, context = self.spark._jvm, self.spark.sparkContext
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if folder.split("/")[-2:-1] == [self.root.rsplit("/", 1)[1]]:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-    def tidy(self) -> None:
-        """Let Spark's cleaner drop the shuffle files of plans that are out of use, which it does when the driver's JVM collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+__all__ = ["Scratch", "shared_dir"]
