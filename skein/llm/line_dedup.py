@@ -115,7 +115,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int =
 
     ``runs`` may hold earlier batches, which count too; these documents are added to it.
     """
-    docs = docs.drop("n_lines", "n_dropped", "_id", "_common")
+    docs = docs.drop("n_lines", "n_dropped", "_id", "_common", "_kept")
     runs = runs or LineRuns(docs.sparkSession)
     part = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(batches))
     for i in range(batches):
@@ -124,12 +124,14 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int =
     found = line_hashes(docs).join(common, ["h1", "h2"], "left_semi")
     per_doc = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_common"))
     both = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["_id"]), "left")
-    text, common = F.coalesce(docs["text"], F.lit("")), F.col("_common")
-    all_lines = lines(docs["text"])
-    kept = F.filter(all_lines, lambda x: F.coalesce(~F.array_contains(common, line_hash(x)), F.lit(True)))
-    cleaned = F.when(common.isNull(), text).otherwise(F.array_join(kept, "\n"))
-    out = both.select(*[docs[c] for c in docs.columns if c != "text"], cleaned.alias("text"), F.size(all_lines).cast("long").alias("n_lines"), F.when(common.isNull(), F.lit(0)).otherwise(F.size(all_lines) - F.size(kept)).cast("long").alias("n_dropped"))
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    common, kept = F.col("_common"), F.col("_kept")
+    keep = F.filter(lines(docs["text"]), lambda x: F.coalesce(~F.array_contains(common, line_hash(x)), F.lit(True)))
+    # lines of a document are filtered once, and only where some are common
+    both = both.select(*[docs[c] for c in docs.columns], F.when(common.isNotNull(), keep).alias("_kept"))
+    text = F.coalesce("text", F.lit(""))
+    n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    columns = [F.coalesce(F.array_join(kept, "\n"), text).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return both.select(*columns, n_lines.alias("n_lines"), F.when(kept.isNull(), 0).otherwise(n_lines - F.size(kept)).cast("long").alias("n_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
