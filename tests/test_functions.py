@@ -16,11 +16,11 @@ def one(spark, column):
 @pytest.mark.parametrize(
     ("path", "pattern", "want"),
     [
-        ("folder/direct.md", "folder/**/*.md", True),
-        ("other/folder/first/second/deep.md", "folder/**/*.md", False),
-        ("folder/nested/a.md", "folder/*.md", False),
-        ("root.md", "**/*.md", True),
-        ("folder/private/deep.md", "folder/**/private/**", True),
+        ("notes/a.md", "notes/**/*.md", True),
+        ("old/notes/x/y/z.md", "notes/**/*.md", False),
+        ("notes/x/a.md", "notes/*.md", False),
+        ("top.txt", "**/*.txt", True),
+        ("notes/secret/z.md", "notes/**/secret/**", True),
         ("a/b/c.txt", "c.txt", True),
         ("a/b/c.txt", "b", False),
         ("x.md", "/".join(["**"] * 1100) + "/x.md", True),
