@@ -10,9 +10,12 @@ import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; its setting is read from the session."""
@@ -42,9 +45,23 @@ class Scratch:
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write a table and read it again: the plan so far is cut, and a lost executor costs no more than the readers' own work."""
         path = self.path(name)
-        df.write.option("compression", codec).parquet(path)
+        with self._freeing():
+            df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @contextlib.contextmanager
+    def _freeing(self) -> Iterator[None]:
+        """Spark deletes the shuffle files of what runs inside as soon as it has ended; a written table has no use for them."""
+        was = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            yield
+        finally:
+            if was is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, was)
+
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table of this run that nothing reads any more."""
         jvm, context = self.spark._jvm, self.spark.sparkContext
