@@ -139,3 +139,16 @@ def test_search_degrades(searcher):
 
 def test_every_schema_parses():
     assert all(schema(n).fields for n in ("sources", "source_files", "chunks", "vectors", "sync_jobs", "sync_runs"))
+
+
+def test_scratch_writes_and_leaves_the_session_as_it_was(spark):
+    from skein.sources.scratch import _CLEANUP, Scratch
+
+    was = spark.conf.get(_CLEANUP, None)
+    scratch = Scratch(spark, "test")
+    plan = spark.range(100).repartition(4, "id").groupBy((F.col("id") % 3).alias("k")).count()
+    saved = scratch.save(plan, "counts")
+    # a plan whose shuffle files are gone can be run again
+    assert {tuple(r) for r in plan.collect()} == {tuple(r) for r in saved.collect()} == {(0, 34), (1, 33), (2, 33)}
+    assert {tuple(r) for r in scratch.save(plan, "again").collect()} == {(0, 34), (1, 33), (2, 33)}
+    assert spark.conf.get(_CLEANUP, None) == was
