@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary: whole training texts in
-lower case, everything but letters as single spaces.  A text, in the same form,
+Each language has a raw-content zstandard dictionary: training texts (their first
+``SAMPLE_CHARS`` characters) in lower case, everything but letters as single spaces.  A text, in the same form,
 is encoded with every dictionary, and the language whose dictionary gives the
 fewest bytes wins.  Short texts are encoded at a higher level.  A decision is rejected where the runner
 up comes within ``MIN_MARGIN`` of the winner.
@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 UNKNOWN = "und"
 #: Bytes of each dictionary: the documented bound of the training sample.
@@ -30,7 +31,7 @@ DICT_BYTES = 96 << 10
 MAX_LANGS = 400
 #: About how many labelled texts of a language are drawn to fill its dictionary.
 SAMPLE_TEXTS = 160
-#: Longest text drawn as training text, in characters; predictions take whole texts.
+#: Longest piece of a training text, in characters; predictions take whole texts.
 SAMPLE_CHARS = 16_000
 #: Relative margin of the second best below which a decision is rejected.
 MIN_MARGIN = 0.001
@@ -59,22 +60,35 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(labelled: DataFrame) -> dict[str, bytes]:
-    """A dictionary for each language from rows (text, lang, and ``key``, by whose hash the sample is drawn)."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) BETWEEN 40 AND %d" % SAMPLE_CHARS)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
+    """A dictionary for each language from rows (text, lang, and ``key``; the sample is drawn by a hash of key and text).
+
+    Every label with a text that holds a letter is learned, or it is an error.
+    Rows of one key and text are drawn once, and at most ``4 * SAMPLE_TEXTS`` rows
+    of a language come to the driver.
+    """
+    scale = 1 << 40
+    rows = labelled.where("lang IS NOT NULL").where(F.col("text").rlike(r"\pL"))
+    rows = rows.select("lang", "text", F.pmod(F.xxhash64("key", "text"), F.lit(scale)).alias("place"))
+    # repeated rows share a place: they neither crowd a language's draw nor leave it empty
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("n"), F.min("place").alias("least")).limit(MAX_LANGS + 1).collect()
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not counts:
         return {}
-    scale = 1 << 40
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, scale * SAMPLE_TEXTS // n))])
-    place = F.pmod(F.xxhash64("key"), F.lit(scale))
-    drawn = rows.withColumn("place", place).where(F.col("place") < share[F.col("lang")])
-    drawn = drawn.select("lang", "place", "text").orderBy("lang", "place", "text")
-    held: dict[str, list[bytes]] = {k: [] for k in sorted(counts)}
-    for r in drawn.limit(4 * SAMPLE_TEXTS * len(counts)).toLocalIterator():
-        held[r["lang"]].append(bare(r["text"]))
-    return {k: b" ".join(v)[:DICT_BYTES] for k, v in held.items() if v}
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(r["least"] + 1, min(scale, scale * SAMPLE_TEXTS // max(1, r["n"]))))])
+    drawn = rows.where(F.col("place") < share[F.col("lang")])
+    # long texts give a piece that starts at their first letter
+    piece = F.substring(F.regexp_replace("text", r"\A\PL+", ""), 1, SAMPLE_CHARS)
+    drawn = drawn.select("lang", "place", piece.alias("text")).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("place")
+    drawn = drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 4 * SAMPLE_TEXTS).select("lang", "place", "text").orderBy("lang", "place")
+    held: dict[str, bytes] = {r["lang"]: b"" for r in sorted(counts, key=lambda r: r["lang"])}
+    for r in drawn.toLocalIterator():
+        if len(held[r["lang"]]) < DICT_BYTES:
+            held[r["lang"]] = b" ".join(x for x in (held[r["lang"]], bare(r["text"])) if x)[:DICT_BYTES]
+    if missing := [k for k, v in held.items() if not v]:
+        raise ValueError(f"languages without a dictionary: {missing}")
+    return held
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:

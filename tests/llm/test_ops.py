@@ -211,6 +211,19 @@ def test_language_id(spark, docs, empty):
     assert language_id.fit(docs.limit(0).withColumn("key", F.col("doc_id"))) == {}
 
 
+def test_language_id_learns_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_TEXTS", 4)
+    word = {"aa": "lorem ipsum dolor", "bb": "quick brown foxes", "cc": "zwölf boxkämpfer jagen"}
+    rows = [(None, f"{word['aa']} number {i} of the rows without a key", "aa") for i in range(120)]
+    rows += [(i, f"{word['bb']} number {i} of the rows that have a key", "bb") for i in range(30)]
+    rows += [(None, "12 " + f"{word['cc']} " * 2000, "cc")] * 50 + [(7, "дом", "dd"), (8, "12345", "ee")]
+    learned = language_id.fit(spark.createDataFrame(rows, "key long, text string, lang string"))
+    assert list(learned) == ["aa", "bb", "cc", "dd"] and all(0 < len(v) <= language_id.DICT_BYTES for v in learned.values())
+    assert len(learned["cc"].decode()) <= language_id.SAMPLE_CHARS
+    told = language_id.predict(spark.createDataFrame([(k, v) for k, v in word.items()], "doc_id string, text string"), learned).collect()
+    assert all(r.doc_id == r.lang_pred for r in told)
+
+
 def test_language_id_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     told = language_id.query(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
