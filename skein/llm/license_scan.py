@@ -2,7 +2,9 @@
 
 Texts become words, each with a space on either side.  A rule is a regex over
 such words with a label, a priority and a keyword.  A document that holds none of
-the gate words runs no rule; others run the rules whose keyword they hold.
+the gate words runs no rule; others run the rules of which they hold a
+keyword; every text that a rule's regex matches holds one.  SQL has one keyword a
+rule, which is less where a name is spelled out (``EITHER``).
 Detections are intervals of words.  One that lies inside another of the same or
 a higher priority is suppressed; of equal intervals the rule that stands first
 stays.  Besides the rules, three base phrases are counted everywhere.
@@ -101,6 +103,9 @@ LICENSES = (
     ("llama-community", "llama( 2| 3)? community licen[cs]e( agreement)?", "llama2", "llama"),
 )
 
+#: Words of which each text that a name's regex matches holds one, for names whose keyword is not in all their alternatives.
+EITHER = {"wtfpl": ("fuck", "wtfpl"), "cc0-1.0": ("commons", "cc0")} | {label: ("commons", "cc  by") for label, name, _, _ in LICENSES if "|cc by" in name}
+
 #: Forms in which a license is told: priority (0 is the highest), confidence, and the regex around its name.
 FORMS = (
     ("grant", 0, 0.95, "(licen[cs]ed|released|distributed|available|published|provided|redistributed|covered) (under|by) (the )?((terms|conditions) (and conditions )?of )?(the )?(either )?{name}( licen[cs]e)?"),
@@ -132,6 +137,8 @@ class Rule:
     confidence: float
     keyword: str
     regex: str
+    #: The scan runs the rule on texts that hold one of these; without any, on those that hold the keyword.
+    either: tuple[str, str] | None = None
 
 
 def compiled(pattern: str) -> str:
@@ -147,7 +154,7 @@ def rules() -> list[Rule]:
     for form, priority, confidence, around in (TAG, *FORMS):
         for i, (label, name, spdx, keyword) in enumerate(LICENSES):
             regex = around.replace("{name}", f"({name})" if form != "name" else name).replace("{spdx}", spdx)
-            out.append(Rule(f"{form}:{i}", label, priority, confidence, "spdx" if form == "tag" else keyword, compiled(regex)))
+            out.append(Rule(f"{form}:{i}", label, priority, confidence, "spdx" if form == "tag" else keyword, compiled(regex), None if form == "tag" else EITHER.get(label)))
     return out
 
 
@@ -216,13 +223,15 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     Columns of these names are replaced.  Detections are structs of label, first word, word after the last, rule and confidence.
     """
     docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "detections", "labels", "score", "_spaced", "_found", "_kept", "_labels", *[f"_base{i}" for i in range(len(BASE))])
-    table = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(i).alias("id")) for i, r in enumerate(rules)])
+    first = lambda r: r.either[0] if r.either else r.keyword
+    other = lambda r: r.either[1] if r.either else None
+    table = F.array(*[F.struct(F.lit(first(r)).alias("keyword"), F.lit(other(r)).cast("string").alias("other"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(i).alias("id")) for i, r in enumerate(rules)])
     told = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.name).alias("name"), F.lit(r.confidence).alias("confidence")) for r in rules])
     spaced = F.col("_spaced")
     gate = F.lit(False)
     for word in GATE:
         gate = gate | F.contains(spaced, F.lit(word.replace(" ", "  ")))
-    run = F.flatten(F.transform(F.filter(table, lambda r: F.contains(spaced, r["keyword"])), lambda r: _spans(spaced, r)))
+    run = F.flatten(F.transform(F.filter(table, lambda r: F.contains(spaced, r["keyword"]) | F.contains(spaced, r["other"])), lambda r: _spans(spaced, r)))
     out = docs.withColumn("_spaced", spaced_words(docs["text"]))
     out = out.withColumns({f"_base{i}": _base(spaced, phrase) for i, (phrase, _) in enumerate(BASE)} | {"_found": F.when(gate, run)})
     out = out.withColumn("_kept", F.when(F.size("_found") > 0, _suppress(F.col("_found"))))

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import re._parser as parser
 import zlib
 
 import numpy as np
@@ -81,6 +82,42 @@ def test_license_rules_suppress_what_lies_inside(spark):
     assert len(license_scan.RULES) > 300
 
 
+def alternatives(pattern):
+    """Every text that a pattern of literals, groups, |, ? and classes stands for."""
+
+    def walk(node):
+        out = [""]
+        for op, arg in node:
+            if op is parser.LITERAL:
+                one = [chr(arg)]
+            elif op is parser.IN:
+                one = [chr(x) for _, x in arg]
+            elif op is parser.SUBPATTERN:
+                one = walk(arg[-1])
+            elif op is parser.BRANCH:
+                one = [x for b in arg[1] for x in walk(b)]
+            else:
+                assert op is parser.MAX_REPEAT and arg[:2] == (0, 1), op
+                one = ["", *walk(arg[2])]
+            out = [a + b for a in out for b in one]
+        return out
+
+    return walk(parser.parse(pattern))
+
+
+def test_license_alternatives_pass_the_prefilter(spark):
+    around = {"name": "{}", "grant": "released under {}", "header": "this file is {}", "field": "license {}"}
+    rows = []
+    for i, (_, name, spdx, _) in enumerate(license_scan.LICENSES):
+        rows += [(f"{form}:{i}", text.format(x)) for form, text in around.items() for x in {" ".join(x.split()) for x in alternatives(license_scan.compiled(name))}] + [(f"tag:{i}", "spdx license identifier " + spdx)]
+    rows += [(f"notice:{i}", x) for i, (_, text, _) in enumerate(license_scan.NOTICES) for x in alternatives(text)]
+    # a rule's own detection spans the whole text, and only another that spans it can stand for it
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string").repartition(4)).collect():
+        assert any(d.start == 0 and d.end == r.n_words for d in r.detections), (r.doc_id, r.text)
+    spelled = [("wtfpl", "do what the fuck you want to public license"), ("cc0-1.0", "Creative Commons Zero 1.0 Universal"), ("cc-by-4.0", "Creative Commons Attribution 4.0"), ("cc-by-sa-4.0", "Creative Commons Attribution-ShareAlike 4.0"), ("cc-by-nc-4.0", "Creative Commons Attribution Non-Commercial 4.0"), ("cc-by-nd-4.0", "Creative Commons Attribution NoDerivatives 4.0"), ("cc-by-nc-4.0", "CC BY-NC 4.0")]
+    assert [r.labels for r in license_scan.scan(spark.createDataFrame(spelled, "doc_id string, text string")).collect()] == [x for x, _ in spelled]
+
+
 def test_line_dedup(spark, docs, empty):
     def brute(rows, least):
         key = lambda x: low(x.strip(WHITE))
