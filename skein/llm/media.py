@@ -4,7 +4,9 @@
 :func:`features` turns samples into log-mel windows: polyphase resampling from
 8 to 16 kHz, overlapped frames through a mel filterbank, and hysteresis
 segmentation on frame energy.  Segments are cut to windows of ``WINDOW`` frames,
-stored as an Arrow fixed-shape tensor column beside their time spans.
+stored as an Arrow fixed-shape tensor column beside their time spans, one stream
+for each document; the query reads the streams again and derives the features'
+digest, the number of windows and the voiced time from what it has read.
 
 Nulls, ties and edges: a null text is empty; an empty payload is one block of
 zeros; silence gives no segment, and then a stream of no rows; repeated rows and
@@ -15,6 +17,7 @@ with the text beyond its own size; other columns are not read.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import zlib
@@ -40,6 +43,10 @@ WINDOW = 64
 OPEN, KEEP = 0.25, 0.08
 #: Samples that are framed at once.
 SLICE = 1 << 18
+#: Bytes of streams in a batch of rows and of windows in a batch of a stream; a row or window above it stands alone.
+BATCH_BYTES = 8 << 20
+#: Rows of media and streams that are read at once, and bytes of them that go to Python at once.
+READ_ROWS, READ_BYTES = 128, 16 << 20
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -141,7 +148,7 @@ def to_ipc(spans: list[tuple[float, float]], windows: np.ndarray) -> bytes:
     table = pa.table({"start_s": pa.array([a for a, _ in spans], pa.float64()), "end_s": pa.array([b for _, b in spans], pa.float64()), "log_mel": pa.ExtensionArray.from_storage(kind, flat)})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as w:
-        w.write_table(table)
+        w.write_table(table, max_chunksize=max(1, BATCH_BYTES // (4 * WINDOW * MELS)))
     return sink.getvalue().to_pybytes()
 
 
@@ -162,6 +169,12 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def _told(spans: list[tuple[float, float]], windows: np.ndarray) -> tuple[str, int, float]:
+    """Digest of features, number of windows, voiced seconds."""
+    digest = hashlib.sha256(np.rint(windows * 64).astype("<i4").tobytes() + repr(spans).encode()).hexdigest()
+    return digest, len(spans), float(sum(b - a for a, b in spans))
+
+
 def extract(media: DataFrame, tensors: bool = True) -> DataFrame:
     """Per stored file: digests of what is read back, the features' digest, and with ``tensors`` their Arrow stream."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_windows long, voiced_s double"
@@ -174,11 +187,10 @@ def extract(media: DataFrame, tensors: bool = True) -> DataFrame:
                 doc_id, n, blob = (batch.column(c)[i].as_py() for c in ("doc_id", "n_bytes", "media"))
                 payload = decode_wav(blob)
                 spans, windows = features(payload)
-                digest = hashlib.sha256(np.rint(windows * 64).astype("<i4").tobytes() + repr(spans).encode()).hexdigest()
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(blob), hashlib.sha256(blob).hexdigest(), digest, len(spans), float(sum(b - a for a, b in spans))))
+                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(blob), hashlib.sha256(blob).hexdigest(), *_told(spans, windows)))
                 if tensors:
                     streams.append(to_ipc(spans, windows))
-                if len(rows) == 200 or i == batch.num_rows - 1:
+                if len(rows) == 200 or i == batch.num_rows - 1 or sum(map(len, streams)) >= BATCH_BYTES:
                     cols = [pa.array(c) for c in zip(*rows, strict=True)]
                     cols[0] = pa.array([r[0] for r in rows], pa.int64())
                     yield pa.RecordBatch.from_arrays(cols + ([pa.array(streams, pa.binary())] if tensors else []), names=names + ["tensors"] * tensors)
@@ -187,8 +199,46 @@ def extract(media: DataFrame, tensors: bool = True) -> DataFrame:
     return media.mapInArrow(run, schema + (", tensors binary" if tensors else ""))
 
 
+def read_back(stored: DataFrame) -> DataFrame:
+    """The stored rows with feature, n_windows and voiced_s from their streams; a stream that is not what was made is an error."""
+    derived = ("feature", "n_windows", "voiced_s")
+    out = stored.drop("tensors").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for blob in batch.column("tensors"):
+                table = from_ipc(blob.as_buffer())
+                spans = list(zip(table.column("start_s").to_pylist(), table.column("end_s").to_pylist(), strict=True))
+                parts = [c.storage.flatten().to_numpy() for c in table.column("log_mel").chunks]
+                told.append(_told(spans, np.concatenate([np.empty(0, np.float32), *parts]).reshape(-1, WINDOW, MELS)))
+            if [x[0] for x in told] != batch.column("feature").to_pylist():
+                raise ValueError("a stored stream differs from its features")
+            new = dict(zip(derived, (pa.array([x[i] for x in told], t) for i, t in enumerate((pa.string(), pa.int64(), pa.float64()))), strict=True))
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c) if c in batch.schema.names else None) for c in out.names], names=out.names)
+
+    return stored.mapInArrow(run, out)
+
+
+@contextlib.contextmanager
+def _small_reads(spark: SparkSession) -> Iterator[None]:
+    """What is written inside reads its large values a few at a time."""
+    sizes = {"spark.sql.parquet.columnarReaderBatchSize": READ_ROWS, "spark.sql.execution.arrow.maxRecordsPerBatch": READ_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": READ_BYTES}
+    was = {k: spark.conf.get(k, None) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document, from the stored media column."""
+    """One row per document, from the stored media column and the stored tensors."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    media = Scratch(spark, "media").save(store(docs), "wav")
-    return extract(media, tensors=False)
+    scratch = Scratch(spark, "media")
+    media = scratch.save(store(docs), "wav")
+    with _small_reads(spark):
+        tensors = scratch.save(extract(media), "tensors")
+        return scratch.save(read_back(tensors), "features")

@@ -192,6 +192,25 @@ def test_media(docs, empty):
     assert media.extract(media.store(empty)).count() == 0
 
 
+def test_media_query_stores_tensors_and_reads_them(docs, spark, tmp_path, monkeypatch):
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    saved = {}
+    save = media.Scratch.save
+    monkeypatch.setattr(media.Scratch, "save", lambda self, df, name, *a: saved.setdefault(name, save(self, df, name, *a)))
+    monkeypatch.setattr(media, "BATCH_BYTES", 1 << 14)
+    got = {(r.doc_id, r.payload_sha256): r for r in media.query(spark, f"file://{tmp_path}").collect()}
+    stored = saved["tensors"].collect()
+    assert len(stored) == len(ROWS) and sum(r.n_windows for r in stored) > 10
+    for r in stored:
+        table = media.from_ipc(r.tensors)
+        assert table.num_rows == r.n_windows == got[r.doc_id, r.payload_sha256].n_windows and table.column("log_mel").type.shape == [media.WINDOW, media.MELS]
+    plain = media.extract(media.store(docs), tensors=False).collect()
+    assert {k: r.feature for k, r in got.items()} == {(r.doc_id, r.payload_sha256): r.feature for r in plain}
+    other = saved["tensors"].withColumn("tensors", F.lit(media.to_ipc([(0.0, 1.0)], np.ones((1, media.WINDOW, media.MELS), np.float32))))
+    with pytest.raises(Exception, match="differs from its features"):
+        media.read_back(other).collect()
+
+
 def test_media_segments_and_resampling():
     assert media.segments(np.array([0, 0.1, 1, 0.1, 0.01, 0.1, 0])) == [(1, 4)]
     tone = np.sin(np.arange(4000) * 2 * np.pi * 440 / media.RATE_IN).astype(np.float32)
