@@ -4,17 +4,17 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents.  :func:`run` writes each stage as Parquet and
 reads it again as the next one's input.
 
-Nulls, ties and edges are the operators'; here, rows that repeat a doc_id are
-one document, of which the text that sorts first stays; rows with a null doc_id
-can't be placed in a group of near duplicates and stay; an empty table gives an
-empty result; columns beyond those of documents are dropped by the first stage.
+Nulls, ties and edges are the operators'; here, near duplicates
+are dropped by row: of each component one row stays, with the smallest doc_id
+(nulls last), of several such rows one by a hash of the row; a doc_id that
+different texts share, or a null one, is placed like any other; texts without
+words are linked with nothing and stay; an empty table gives an empty result; columns beyond those of documents are dropped by the first stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skein.llm import decontaminate, jaccard_join, language_id, line_dedup, sentencepiece_codec
 from skein.llm.scratch import Scratch
@@ -38,13 +38,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near duplicates."""
+    """One row of each component of near duplicates: the smallest (doc_id, row), a null doc_id last."""
     ship(spark)
     docs = docs.select(*COLUMNS)
-    kept = jaccard_join.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    known = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return known.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # equal rows become one, so that the hash of a row is its id
+    rows = Scratch(spark, "rows").save(docs.where(worded).distinct().withColumn("_row", F.xxhash64(*COLUMNS)), "rows")
+    placed = jaccard_join.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = placed.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("f")).select("f._row")
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS).unionByName(docs.where(~worded))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

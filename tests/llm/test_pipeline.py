@@ -41,6 +41,33 @@ def test_stages(spark, tmp_path):
             assert set(now) == set(was) and all(r.decoded_sha256 == hashlib.sha256(was[i].text.encode()).hexdigest() for i, r in now.items())
 
 
+def test_near_duplicates_are_dropped_by_row(spark, tmp_path):
+    def text(name, n=40):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [
+        (1, text("a")),
+        (5, text("a") + " tail"),  # a near copy of 1
+        (5, text("b")),  # shares the id, and is a copy of nothing
+        (5, text("c")),
+        (None, text("c") + " end"),  # a near copy of a row with an id
+        (None, text("d")),
+        (None, text("d")),
+        (None, text("d") + " more"),
+        (7, text("e")),
+        (7, text("e")),
+        (8, ""),
+        (None, " "),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"file://{tmp_path}/in")
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"file://{tmp_path}/in"), "").collect()
+    found = [(r.doc_id, r.text) for r in got]
+    assert all(found.count(x) == 1 for x in [(1, text("a")), (5, text("b")), (5, text("c")), (7, text("e")), (8, ""), (None, " "), (None, None)])
+    assert sum((t or "").startswith("d0") for _, t in found) == 1 and len(found) == 8
+
+
 def key(line):
     return line.strip(" \t\n\x0b\x0c\r").encode().lower().decode()
 
