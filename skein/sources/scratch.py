@@ -1,13 +1,17 @@
 """Written intermediate tables in the folder that a cluster shares.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset,
-as in tests on one machine, a temporary folder is made and set.
+The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset
+and Spark runs on one machine, as in tests, a temporary folder is made and set; a
+cluster without the setting is an error.  What a run has not dropped itself is
+deleted when the driver's interpreter ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,11 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
         with contextlib.suppress(Exception):
             found = context.getCheckpointDir()
         if not found:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="spark-")
             context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if it is there and the JVM still is."""
+    with contextlib.suppress(Exception):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables of one run of an operator, under a folder name of its own."""
 
@@ -37,16 +50,18 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(_delete, spark, self.root)
 
     def path(self, name: str) -> str:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write a table and read it again: the plan so far is cut, and a lost executor costs no more than the readers' own work."""
+    def save(self, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+        """Write a table (partitioned by a column) and read it again: the plan so far is cut, and a lost executor costs no more than the readers' own work."""
         path = self.path(name)
         with self._freeing():
-            df.write.option("compression", codec).parquet(path)
+            writer = df.write.option("compression", codec)
+            (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     @contextlib.contextmanager
@@ -64,11 +79,9 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table of this run that nothing reads any more."""
-        jvm, context = self.spark._jvm, self.spark.sparkContext
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if folder.split("/")[-2:-1] == [self.root.rsplit("/", 1)[1]]:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        top = self.root.rsplit("/", 1)[1]
+        for folder in {f[: f.index(top) + len(top)] + "/" + f[f.index(top) + len(top) + 1 :].split("/", 1)[0] for f in df.inputFiles() if f"/{top}/" in f}:
+            _delete(self.spark, folder)
 
     def tidy(self) -> None:
         """Let Spark's cleaner drop the shuffle files of plans that are out of use, which it does when the driver's JVM collects garbage."""
