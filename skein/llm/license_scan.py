@@ -3,8 +3,9 @@
 Texts become words, each with a space on either side.  A rule is a regex over
 such words with a label, a priority and a keyword.  A document that holds none of
 the gate words runs no rule; others run the rules of which they hold a
-keyword; every text that a rule's regex matches holds one.  SQL has one keyword a
-rule, which is less where a name is spelled out (``EITHER``).
+keyword; every text that a rule's regex matches holds one, so the prefilter loses
+no detection (the SQL has none).  Arrays are folded in blocks, so that a long
+text full of license lines does not copy all earlier detections for each new one.
 Detections are intervals of words.  One that lies inside another of the same or
 a higher priority is suppressed; of equal intervals the rule that stands first
 stays.  Besides the rules, three base phrases are counted everywhere.
@@ -17,6 +18,7 @@ an empty result; other columns pass through.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -101,6 +103,13 @@ LICENSES = (
     ("cc-by-nc-nd-4.0", "(creative commons attribution non ?commercial no ?derivatives|cc by nc nd) 4 0", "cc by nc nd 4 0", "nd"),
     ("openrail", "(creativeml )?open ?rail (m )?licen[cs]e", "openrail", "licen"),
     ("llama-community", "llama( 2| 3)? community licen[cs]e( agreement)?", "llama2", "llama"),
+    ("ms-pl", "microsoft public licen[cs]e", "ms pl", "microsoft"),
+    ("ms-rl", "microsoft reciprocal licen[cs]e", "ms rl", "microsoft"),
+    ("osl-3.0", "open software licen[cs]e( (version |v)?3( 0)?)?", "osl 3 0", "open"),
+    ("afl-3.0", "academic free licen[cs]e( (version |v)?3( 0)?)?", "afl 3 0", "academic"),
+    ("mulan-psl-2.0", "mulan (psl|permissive software licen[cs]e)( (version |v)?2( 0)?)?", "mulanpsl 2 0", "mulan"),
+    ("vim", "vim licen[cs]e", "vim", "vim"),
+    ("json", "json licen[cs]e", "json", "json"),
 )
 
 #: Words of which each text that a name's regex matches holds one, for names whose keyword is not in all their alternatives.
@@ -115,18 +124,67 @@ FORMS = (
 )
 #: Form of a machine-readable tag.
 TAG = ("tag", 0, 1.0, "spdx licen[cs]e identifier {spdx}( only| or later)?")
-#: Rules that name no license, by label and regex; each with its gate keyword.
+#: Sentences of license texts, by label and regex; each with a keyword that all its alternatives hold.
 NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions"),
+    ("bsd-3-clause", "neither the name of the (copyright holder|university|author|company|project) nor the names of its contributors may be used to endorse or promote products", "endorse"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement", "advertising"),
+    ("apache-1.1", "this product includes software developed by the apache software foundation", "apache"),
+    ("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0", "apache"),
+    ("apache-2.0", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "basis"),
+    ("apache-2.0", "grant of patent license subject to the terms and conditions of this license", "patent"),
+    ("gpl", "redistribute it and or modify it under the terms of the gnu general public licen[cs]e", "redistribute"),
+    ("gpl", "is distributed in the hope that it will be useful but without any warranty", "warranty"),
+    ("gpl", "you should have received a copy of the gnu general public licen[cs]e", "received"),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed", "verbatim"),
+    ("lgpl", "you should have received a copy of the gnu (lesser|library) general public licen[cs]e", "received"),
+    ("agpl", "must prominently offer all users interacting with it remotely through a computer network", "remotely"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", "permission"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public licen[cs]e", "mozilla"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", "mpl"),
+    ("epl", "the accompanying materials are made available under the terms of the eclipse public licen[cs]e", "eclipse"),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution licen[cs]e", "contents"),
+    ("cc-by", "free to share copy and redistribute the material in any medium or format", "redistribute"),
+    ("cc-by", "you must give appropriate credit provide a link to the licen[cs]e and indicate if changes were made", "credit"),
+    ("cc-by-nc", "you may not use the material for commercial purposes", "commercial"),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material", "remix"),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same licen[cs]e", "remix"),
+    ("cc0-1.0", "waived all copyright and related or neighboring rights", "waived"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission"),
+    ("isc", "the author disclaims all warranties with regard to this software", "disclaims"),
     ("zlib", "this software is provided as is without any express or implied warranty", "warranty"),
+    ("zlib", "the origin of this software must not be misrepresented", "misrepresented"),
+    ("zlib", "altered source versions must be plainly marked as such", "altered"),
+    ("bsl-1.0", "any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[cs]e", "organization"),
+    ("ofl-1.1", "the font software may be sold as part of a larger software package", "font"),
+    ("openssl", "this product includes software developed by the openssl project", "openssl"),
+    ("php-3.01", "this product includes php software freely available", "php"),
+    ("postgresql", "in no event shall the university of california be liable to any party", "california"),
+    ("ncsa", "this list of conditions and the following disclaimers", "disclaimers"),
+    ("artistic-2.0", "this licen[cs]e establishes the terms under which a given free software package may be copied modified distributed and or redistributed", "establishes"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document", "verbatim"),
+    ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service", "hosted"),
+    ("busl-1.1", "make non production use of the licensed work", "production"),
+    ("sspl-1.0", "if you make the functionality of the program or a modified version available to third parties as a service", "functionality"),
+    ("psf-2.0", "this licen[cs]e agreement is between the python software foundation", "python"),
+    ("json", "the software shall be used for good not evil", "evil"),
     ("proprietary", "all rights reserved", "reserved"),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited", "unauthorized"),
+    ("proprietary", "(proprietary and confidential|confidential and proprietary)", "confidential"),
     ("public-domain", "(released|dedicated|placed) (in|into|to) the public domain", "domain"),
+    ("public-domain", "this work is in the public domain", "domain"),
+    ("public-domain", "the author disclaims copyright to this source code", "disclaims"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "compile"),
+    ("beerware", "as long as you retain this notice you can do whatever you want with this stuff", "stuff"),
 )
-#: A document without any of these holds no detection.
-GATE = ("licen", "spdx", "copyright", "unlicense", "public domain", "permission", "redistribution", "warranty", "reserved", "cc by", "cc0", "creative commons", "wtfpl", "gpl", "attribution", "identifier", "published", "released", "openrail")
+_GATE = ("licen", "spdx", "copyright", "unlicense", "public domain", "permission", "redistribution", "warranty", "reserved", "cc by", "cc0", "creative commons", "wtfpl", "gpl", "attribution", "identifier", "published", "released", "openrail", "psl")
+#: A document without any of these holds no detection; a notice without one brings its keyword.
+GATE = (*_GATE, *sorted({k for _, text, k in NOTICES if not any(w in re.sub(r"\(.*?\)", "", text) for w in _GATE)}))
 
 
 @dataclass(frozen=True)
@@ -163,7 +221,9 @@ RULES = rules()
 
 def spaced_words(text: Column) -> Column:
     """The words of a text in lower case, each with a space on either side; "" without words."""
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  "))
+    # lower() makes ASCII of two other letters; with these replaced it serves, as only a-z and 0-9 are compared
+    text = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00e9")), F.lit("\u0130"), F.lit("\u00e9"))
+    words = F.trim(F.regexp_replace(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  "))
     return F.when(words == "", F.lit("")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
@@ -184,37 +244,65 @@ def _base(spaced: Column, phrase: str) -> Column:
     return F.when(F.contains(spaced, F.lit(regex)), found)
 
 
+#: Elements of a block of :func:`_fold`.
+FOLD = 256
+
+
+def _fold(items: Column, state: Column, kind: str, step) -> Column:
+    """The elements that ``step(state, item)`` makes, as struct(state, found or null), in order: appended within a block, then block by block."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        made = step(acc["state"], x)
+        return F.struct(made["state"].alias("state"), F.when(made["found"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(made["found"]))).alias("found"))
+
+    def block(acc: Column, i: Column) -> Column:
+        start = F.struct(acc["state"].alias("state"), none.alias("found"))
+        return F.aggregate(F.slice(items, i * FOLD + 1, F.lit(FOLD)), start, one, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["found"], F.array(r["found"])).alias("found")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / FOLD).cast("int"))
+    zero = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("found"))
+    return F.aggregate(blocks, zero, block, lambda acc: F.flatten(acc["found"]))
+
+
+def _constant(value: object, kind: str) -> Column:
+    """A nested constant, which the optimiser folds to one literal: hundreds of literals of their own make a plan slow to analyse."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(spaced: Column, rule: Column) -> Column:
     """Detections of one rule as structs, in word positions."""
     hits, parts = F.regexp_extract_all(spaced, rule["regex"], F.lit(0)), F.split(spaced, rule["regex"], F.lit(-1))
-    kind = "struct<start:bigint,`end`:bigint,priority:int,rule:int>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + n_words(x["part"])
+    def step(at: Column, x: Column) -> Column:
+        start = at + n_words(x["part"])
         end = start + n_words(x["hit"])
         one = F.struct(start.alias("start"), end.alias("end"), rule["priority"].alias("priority"), rule["id"].alias("rule"))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+        return F.struct(end.alias("state"), one.alias("found"))
 
-    pairs = F.slice(F.arrays_zip(hits.alias("hit"), parts.alias("part")), F.lit(1), F.size(hits))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["found"])
+    # the part after the last hit has none beside it
+    pairs = F.filter(F.arrays_zip(hits.alias("hit"), parts.alias("part")), lambda x: x["hit"].isNotNull())
+    return _bound(pairs, lambda p: _fold(p, F.lit(0).cast("long"), "struct<start:bigint,`end`:bigint,priority:int,rule:int>", step))
 
 
 def _suppress(found: Column) -> Column:
     """Detections that lie in no other of the same or a higher priority."""
     levels = 1 + max(r.priority for r in RULES)
     ordered = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["priority"].alias("priority"), d["rule"].alias("rule"))))
-    kind = "array<struct<start:bigint,back:bigint,priority:int,rule:int>>"
-    # tops: how far detections of each priority reach so far
-    zero = F.struct(F.array_repeat(F.lit(-1).cast("long"), levels).alias("tops"), F.array().cast(kind).alias("kept"))
 
-    def step(acc: Column, d: Column) -> Column:
-        inside = F.exists(F.slice(acc["tops"], F.lit(1), d["priority"] + 1), lambda t: t >= -d["back"])
-        tops = F.transform(acc["tops"], lambda t, i: F.when(i == d["priority"], F.greatest(t, -d["back"])).otherwise(t))
-        return F.struct(tops.alias("tops"), F.when(inside, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(d))).alias("kept"))
+    # tops: how far detections of each priority reach so far
+    def step(tops: Column, d: Column) -> Column:
+        inside = F.exists(F.slice(tops, F.lit(1), d["priority"] + 1), lambda t: t >= -d["back"])
+        reach = F.transform(tops, lambda t, i: F.when(i == d["priority"], F.greatest(t, -d["back"])).otherwise(t))
+        kept = F.struct(d["start"].alias("start"), (-d["back"]).alias("end"), d["priority"].alias("priority"), d["rule"].alias("rule"))
+        return F.struct(reach.alias("state"), F.when(~inside, kept).alias("found"))
 
-    kept = F.aggregate(ordered, zero, step, lambda acc: acc["kept"])
-    return F.transform(kept, lambda d: F.struct(d["start"].alias("start"), (-d["back"]).alias("end"), d["priority"].alias("priority"), d["rule"].alias("rule")))
+    return _bound(ordered, lambda x: _fold(x, F.array_repeat(F.lit(-1).cast("long"), levels), "struct<start:bigint,`end`:bigint,priority:int,rule:int>", step))
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -223,15 +311,18 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     Columns of these names are replaced.  Detections are structs of label, first word, word after the last, rule and confidence.
     """
     docs = docs.drop("n_words", "n_base", "first_word", "last_word", "base_labels", "detections", "labels", "score", "_spaced", "_found", "_kept", "_labels", *[f"_base{i}" for i in range(len(BASE))])
-    first = lambda r: r.either[0] if r.either else r.keyword
-    other = lambda r: r.either[1] if r.either else None
-    table = F.array(*[F.struct(F.lit(first(r)).alias("keyword"), F.lit(other(r)).cast("string").alias("other"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(i).alias("id")) for i, r in enumerate(rules)])
-    told = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.name).alias("name"), F.lit(r.confidence).alias("confidence")) for r in rules])
+    # rules stand by their keywords, so that a keyword is looked for once
+    by: dict[tuple[str, str | None], list[dict]] = {}
+    for i, r in enumerate(rules):
+        by.setdefault(r.either or (r.keyword, None), []).append({"regex": r.regex, "priority": r.priority, "id": i})
+    table = _constant([{"keyword": a, "other": b, "rules": some} for (a, b), some in by.items()], "array<struct<keyword:string,other:string,rules:array<struct<regex:string,priority:int,id:int>>>>")
+    told = _constant([{"label": r.label, "name": r.name, "confidence": r.confidence} for r in rules], "array<struct<label:string,name:string,confidence:double>>")
     spaced = F.col("_spaced")
     gate = F.lit(False)
     for word in GATE:
         gate = gate | F.contains(spaced, F.lit(word.replace(" ", "  ")))
-    run = F.flatten(F.transform(F.filter(table, lambda r: F.contains(spaced, r["keyword"]) | F.contains(spaced, r["other"])), lambda r: _spans(spaced, r)))
+    held = F.filter(table, lambda g: F.contains(spaced, g["keyword"]) | F.contains(spaced, g["other"]))
+    run = F.flatten(F.transform(F.flatten(F.transform(held, lambda g: g["rules"])), lambda r: _spans(spaced, r)))
     out = docs.withColumn("_spaced", spaced_words(docs["text"]))
     out = out.withColumns({f"_base{i}": _base(spaced, phrase) for i, (phrase, _) in enumerate(BASE)} | {"_found": F.when(gate, run)})
     out = out.withColumn("_kept", F.when(F.size("_found") > 0, _suppress(F.col("_found"))))
@@ -264,16 +355,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ",\n".join(f"({i}, {quote(r.label)}, {r.priority}, {r.confidence}, {quote(r.keyword)}, {quote(r.regex)})" for i, r in enumerate(RULES))
+    values = ",\n".join(f"({i}, {quote(r.label)}, {r.priority}, {r.confidence}, {quote(r.regex)})" for i, r in enumerate(RULES))
+    tried = ",\n".join(f"CASE WHEN regexp_matches(s, {quote(r.regex)}) THEN {i} END" for i, r in enumerate(RULES))
     base = ",\n".join(f"({quote(label)}, {quote(compiled(p))}, {p.count(' ') + 1})" for p, label in BASE)
-    gate = " OR ".join(f"contains(s, {quote(w.replace(' ', '  '))})" for w in GATE)
     return rf"""
-WITH rules(rule, label, priority, confidence, keyword, regex) AS (VALUES
+WITH rules(rule, label, priority, confidence, regex) AS (VALUES
 {values}
 ), base(label, phrase, size) AS (VALUES
 {base}
 ), words AS (
-  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), n AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN len(w) = 0 THEN '' ELSE ' ' || array_to_string(w, '  ') || ' ' END AS s FROM words
 ), bp AS (
@@ -286,7 +377,7 @@ WITH rules(rule, label, priority, confidence, keyword, regex) AS (VALUES
   FROM bp GROUP BY 1
 ), c AS (
   SELECT doc_id, rule, priority, label, confidence, string_split_regex(s, regex) AS parts, regexp_extract_all(s, regex) AS hits
-  FROM (SELECT * FROM n WHERE {gate}), rules WHERE contains(s, keyword) AND regexp_matches(s, regex)
+  FROM (SELECT doc_id, s, unnest([{tried}]) AS rule FROM n) JOIN rules USING (rule)
 ), h AS (
   SELECT doc_id, rule, priority, label, confidence, unnest(range(1, len(hits) + 1)) AS i, parts, hits FROM c
 ), d AS (
