@@ -2,17 +2,20 @@
 
 :func:`encode_wav` stores 8-bit samples losslessly as a WAV file;
 :func:`features` turns samples into log-mel windows: polyphase resampling from
-8 to 16 kHz, overlapped frames through a mel filterbank, and hysteresis
+8 to 12 kHz, overlapped frames through a mel filterbank, and hysteresis
 segmentation on frame energy.  Segments are cut to windows of ``WINDOW`` frames,
 stored as an Arrow fixed-shape tensor column beside their time spans, one stream
 for each document; the query reads the streams again and derives the features'
-digest, the number of windows and the voiced time from what it has read.
+digest, the number of windows and the voiced time from what it has read.  It
+takes the documents in ``SLICES`` parts and deletes a part's streams when their
+features are derived, so that they do not all stand on disk at once.
 
 Nulls, ties and edges: a null text is empty; an empty payload is one block of
 zeros; silence gives no segment, and then a stream of no rows; repeated rows and
-a null doc_id get a result row each; long texts are handled in slices of
-``SLICE`` samples with the overlap that frames need, so memory does not grow
-with the text beyond its own size; other columns are not read.
+a null doc_id get a result row each; long texts are resampled and framed in
+slices of ``SLICE`` samples with the overlap that taps and frames need: beside the
+text, its log-mel frames (2 bytes a byte), the windows cut from them and their
+stream are in memory, and nothing else grows with it; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,21 +25,23 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .words import utf8
 
 BLOCK = 64
-RATE_IN, UP, DOWN = 8_000, 2, 1
+RATE_IN, UP, DOWN = 8_000, 3, 2
 RATE = RATE_IN * UP // DOWN
 #: Taps of each phase of the resampling filter.
 TAPS = 8
-#: 25 ms frames every 10 ms.
-FRAME, HOP, FFT, MELS = 400, 160, 512, 40
+#: 25 ms frames every 10 ms; a hop is a whole number of UP samples.
+FRAME, HOP, FFT, MELS = 300, 120, 512, 40
 #: Frames of a stored window.
 WINDOW = 64
 #: Energy, as a share of the loudest frame's, that opens and that keeps a segment.
@@ -47,6 +52,8 @@ SLICE = 1 << 18
 BATCH_BYTES = 8 << 20
 #: Rows of media and streams that are read at once, and bytes of them that go to Python at once.
 READ_ROWS, READ_BYTES = 128, 16 << 20
+#: Parts in which the query takes the documents.
+SLICES = 8
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -91,27 +98,33 @@ PHASES, BANK = _phases(), _mel_bank()
 HANN = np.hanning(FRAME + 1)[:FRAME].astype(np.float32)
 
 
-def resample(samples: np.ndarray) -> np.ndarray:
-    """Each phase of the filter makes every UP-th output sample; then every DOWN-th stays."""
-    padded = np.concatenate((np.zeros(TAPS // 2, np.float32), samples, np.zeros(TAPS - 1 - TAPS // 2, np.float32)))
-    out = np.empty((len(samples), UP), dtype=np.float32)
-    for p in range(UP):
-        out[:, p] = np.convolve(padded, PHASES[p], mode="valid")
-    return out.reshape(-1)[::DOWN]
+def resample(samples: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Output samples ``lo`` (a multiple of UP) to ``hi`` of 8-bit samples, with silence around them; only these are computed, each by its phase."""
+    first, last = lo // UP * DOWN - TAPS // 2, (hi - 1) * DOWN // UP - TAPS // 2 + TAPS
+    part = samples[max(0, first) : max(0, min(len(samples), last))]
+    x = np.zeros(last - first, np.float32)
+    x[max(0, -first) : max(0, -first) + len(part)] = (part.astype(np.float32) - np.float32(128)) / np.float32(128)
+    taps, out = np.lib.stride_tricks.sliding_window_view(x, TAPS), np.empty(hi - lo, np.float32)
+    for r in range(min(UP, hi - lo)):
+        n = len(out[r::UP])
+        out[r::UP] = taps[r * DOWN // UP :: DOWN][:n] @ PHASES[r * DOWN % UP][::-1]
+    return out
 
 
-def log_mel(wave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frames x MELS log energies, frame energies); the last frame is padded with zeros."""
-    n = max(1, -(-max(0, len(wave) - FRAME) // HOP) + 1)
-    wave = np.concatenate((wave, np.zeros((n - 1) * HOP + FRAME - len(wave), np.float32))) if len(wave) < (n - 1) * HOP + FRAME else wave
+def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frames x MELS log energies, frame energies) of 8-bit samples; the last frame is padded with zeros."""
+    total = -(-len(samples) * UP // DOWN)
+    n = max(1, -(-max(0, total - FRAME) // HOP) + 1)
     mels, energy = np.empty((n, MELS), np.float32), np.empty(n, np.float32)
     step = max(1, SLICE // HOP)
-    frames = np.lib.stride_tricks.sliding_window_view(wave, FRAME)[::HOP]
     for a in range(0, n, step):
-        part = frames[a : min(n, a + step)]
-        energy[a : a + step] = np.einsum("ij,ij->i", part, part) / FRAME
+        b = min(n, a + step)
+        wave = resample(samples, a * HOP, (b - 1) * HOP + FRAME)
+        wave[max(0, total - a * HOP) :] = 0
+        part = np.lib.stride_tricks.sliding_window_view(wave, FRAME)[::HOP]
+        energy[a:b] = np.einsum("ij,ij->i", part, part) / FRAME
         power = np.abs(np.fft.rfft(part * HANN, FFT)).astype(np.float32) ** 2
-        mels[a : a + step] = np.log(power @ BANK + 1e-6)
+        mels[a:b] = np.log(power @ BANK + 1e-6)
     return mels, energy
 
 
@@ -128,10 +141,10 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 
 def features(payload: bytes) -> tuple[list[tuple[float, float]], np.ndarray]:
     """(time spans in seconds, windows x WINDOW x MELS) of 8-bit samples."""
-    samples = (np.frombuffer(payload, np.uint8).astype(np.float32) - np.float32(128)) / np.float32(128)
-    if not samples.any() or not payload.strip(b"\0"):
+    samples = np.frombuffer(payload, np.uint8)
+    if not samples.any() or not (samples != 128).any():
         return [], np.empty((0, WINDOW, MELS), np.float32)
-    mels, energy = log_mel(resample(samples))
+    mels, energy = log_mel(samples)
     spans, cut = [], []
     for a, b in segments(energy):
         for i in range(a, b, WINDOW):
@@ -238,7 +251,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document, from the stored media column and the stored tensors."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "media")
-    media = scratch.save(store(docs), "wav")
+    part = F.pmod(F.xxhash64("doc_id", "n_bytes", F.crc32("media")), F.lit(SLICES)).cast("int")
+    media = scratch.save(store(docs).withColumn("part", part), "wav", by="part")
+    told = []
     with _small_reads(spark):
-        tensors = scratch.save(extract(media), "tensors")
-        return scratch.save(read_back(tensors), "features")
+        for i in range(SLICES):
+            tensors = scratch.save(extract(media.where(F.col("part") == i).drop("part")), "tensors")
+            told.append(scratch.save(read_back(tensors), "features"))
+            scratch.drop(tensors)
+    scratch.drop(media)
+    return reduce(DataFrame.unionByName, told)
