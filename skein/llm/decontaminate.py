@@ -12,9 +12,12 @@ whole document's signature was the other choice; for a 40-word item in a
 A document is searched against the partitions that it is large enough for, and
 each candidate is verified on the words themselves.
 
-Items are sent to the executors in blocks of at most ``BLOCK_SHINGLES`` shingles,
-and the documents are scanned once for each block: what is broadcast is bounded
-whatever the size of the benchmark.  Nothing is shuffled.
+Items are sent to the executors in blocks of ``BLOCK_BYTES`` bytes of text (an
+item above that stands alone), and the documents are scanned once for each block:
+what is broadcast, the items' texts and their sketches, is bounded whatever the
+size of the benchmark and whatever its words are separated by.  Exact shingles are
+made for candidates only, and a document is run through without keeping its own.
+Nothing is shuffled.
 
 Nulls, ties and edges: a null or empty text holds nothing; an item without words
 matches nothing; items of 1 to 4 words are matched as one run of that many
@@ -28,6 +31,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,8 @@ from .words import chunks, hash_words, rolling, utf8
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BLOCK_SHINGLES = 2_000_000
+#: Bytes of items that are sent at once.
+BLOCK_BYTES = 8 << 20
 
 
 def word_list(text: bytes | None) -> list[bytes]:
@@ -52,22 +57,24 @@ def shingles(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
 
 @dataclass
 class Block:
-    """Items of one broadcast: exact shingles, and for each width and size partition the sketches."""
+    """Items of one broadcast: their texts, and for each width and size partition the sketches."""
 
     ids: list[int | None]
-    exact: list[set[tuple[bytes, ...]]]
+    texts: list[bytes]
     width: list[int]
     #: (width, least shingles of a document, sorted hashes, item of each)
     sketches: list[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def make_block(items: list[tuple[int | None, bytes]], threshold: float) -> Block:
-    kept = [(i, w) for i, t in items if (w := word_list(t))]
-    width = [min(SHINGLE, len(w)) for _, w in kept]
-    exact = [shingles(w, k) for (_, w), k in zip(kept, width, strict=True)]
+    kept, width = [], []
     parts: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for n, ((_, w), k) in enumerate(zip(kept, width, strict=True)):
-        hashes, _ = hash_words([b" ".join(w)], lower=False)
+    for i, t in items:
+        hashes, _ = hash_words([t], lower=True)
+        if not len(hashes):
+            continue
+        n, k = len(kept), min(SHINGLE, len(hashes))
+        kept.append((i, t)), width.append(k)
         low = np.unique(rolling(hashes, k))
         size = len(low)
         sketch = size - math.ceil(threshold * size - 1e-9) + 1
@@ -77,7 +84,7 @@ def make_block(items: list[tuple[int | None, bytes]], threshold: float) -> Block
         pairs.sort()
         least = math.ceil(threshold * (1 << (bits - 1)) - 1e-9)
         sketches.append((k, least, np.array([h for h, _ in pairs], dtype=np.uint64), np.array([n for _, n in pairs])))
-    return Block([i for i, _ in kept], exact, width, sketches)
+    return Block([i for i, _ in kept], [t for _, t in kept], width, sketches)
 
 
 def search(texts: list[bytes | None], block: Block, threshold: float) -> Iterator[tuple[int, int, int, int]]:
@@ -101,15 +108,15 @@ def search(texts: list[bytes | None], block: Block, threshold: float) -> Iterato
                 while j < len(hashes) and hashes[j] == run[place]:
                     found.add((doc, int(item[j])))
                     j += 1
-        held: dict[tuple[int, int], set[tuple[bytes, ...]]] = {}
-        for doc, n in sorted(found):
-            k = block.width[n]
-            if (doc, k) not in held:
-                held = {x: y for x, y in held.items() if x[0] == doc}
-                held[doc, k] = shingles(word_list(part[doc]), k)
-            both = len(block.exact[n] & held[doc, k])
-            if both >= threshold * len(block.exact[n]) - 1e-9:
-                yield first + doc, n, both, len(block.exact[n])
+        for doc, some in groupby(sorted(found), key=lambda x: x[0]):
+            items = {n: shingles(word_list(block.texts[n]), block.width[n]) for _, n in some}
+            words_, wanted, seen = word_list(part[doc]), set().union(*items.values()), set()
+            for k in {block.width[n] for n in items}:
+                seen.update(t for t in zip(*(words_[j:] for j in range(k)), strict=False) if t in wanted)
+            for n, exact in items.items():
+                both = len(exact & seen)
+                if both >= threshold * len(exact) - 1e-9:
+                    yield first + doc, n, both, len(exact)
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
@@ -117,11 +124,11 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
     held, n = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         text = (r["text"] or "").encode()
-        held.append((r["item_id"], text))
-        n += text.count(b" ") + 1
-        if n >= BLOCK_SHINGLES:
+        if held and n + len(text) >= BLOCK_BYTES:
             yield held
             held, n = [], 0
+        held.append((r["item_id"], text))
+        n += len(text) + 1
     if held:
         yield held
 
