@@ -135,16 +135,6 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.drop_common_lines(docs).count() == len(ROWS) and line_dedup.drop_common_lines(empty).count() == 0
 
 
-def test_line_runs_are_levelled_and_know_new_lines(spark):
-    runs = line_dedup.LineRuns(spark, fan_out=1)
-    for i in range(4):
-        runs.add(spark.createDataFrame([(i, f"same\nown {i}")], "doc_id long, text string"))
-    assert {r.n_docs for r in runs.counts().collect()} == {1, 4}
-    assert len(runs.levels) > 1 and len(runs.levels[0]) <= 1
-    fresh = line_dedup.line_hashes(spark.createDataFrame([(9, "SAME\nnew")], "doc_id long, text string"))
-    assert runs.unseen(fresh).count() == 1
-
-
 def test_jaccard_join(spark, docs, empty):
     base = [f"t{i}" for i in range(60)]
     rows = [(i, t) for i, t, _ in ROWS] + [(100 + i, " ".join(base[: 60 - i])) for i in range(12)] + [(200 + i, " ".join(base[:k] + ["EDIT"] + base[k + 1 :])) for i, k in enumerate(range(0, 60, 7))] + [(300, " ".join(base).upper())]
@@ -172,6 +162,31 @@ def test_jaccard_join(spark, docs, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_near_copies_do_not_meet_in_all_pairs(spark, monkeypatch, edits):
+    """A text and m copies with edits: with one edit they link through the text, mostly not with each other; with two, hardly at all."""
+    verify, seen = jaccard_join.verify, []
+
+    def counted(pairs, *args):
+        seen[-1] += pairs.count()
+        return verify(pairs, *args)
+
+    monkeypatch.setattr(jaccard_join, "verify", counted)
+    for m in (100, 200):
+        seen.append(0)
+        rng = np.random.default_rng(m)
+        rows = [(0, " ".join(f"t{i}" for i in range(60)))]
+        for i in range(1, m + 1):
+            w = [f"t{i}" for i in range(60)]
+            for k in rng.choice(np.arange(5, 55), edits, replace=False):
+                w[k] = f"e{i}_{k}"
+            rows.append((i, " ".join(w)))
+        got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        if edits == 1:
+            assert {r.component_id for r in got} == {0}
+    assert seen[1] <= 2.5 * seen[0] + 20 and seen[1] <= 6 * 200
+
+
 def test_components_reach_the_smallest(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "a long, b long")
     assert {r.node: r.root for r in components(edges, Scratch(spark, "t")).collect()} == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
@@ -194,29 +209,57 @@ def test_media(docs, empty):
 
 def test_media_query_stores_tensors_and_reads_them(docs, spark, tmp_path, monkeypatch):
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
-    saved = {}
-    save = media.Scratch.save
-    monkeypatch.setattr(media.Scratch, "save", lambda self, df, name, *a: saved.setdefault(name, save(self, df, name, *a)))
+    stored, save = [], media.Scratch.save
+
+    def kept(self, df, name, *a, **k):
+        out = save(self, df, name, *a, **k)
+        stored.extend(out.collect() if name == "tensors" else [])
+        return out
+
+    monkeypatch.setattr(media.Scratch, "save", kept)
     monkeypatch.setattr(media, "BATCH_BYTES", 1 << 14)
     got = {(r.doc_id, r.payload_sha256): r for r in media.query(spark, f"file://{tmp_path}").collect()}
-    stored = saved["tensors"].collect()
     assert len(stored) == len(ROWS) and sum(r.n_windows for r in stored) > 10
     for r in stored:
         table = media.from_ipc(r.tensors)
         assert table.num_rows == r.n_windows == got[r.doc_id, r.payload_sha256].n_windows and table.column("log_mel").type.shape == [media.WINDOW, media.MELS]
     plain = media.extract(media.store(docs), tensors=False).collect()
     assert {k: r.feature for k, r in got.items()} == {(r.doc_id, r.payload_sha256): r.feature for r in plain}
-    other = saved["tensors"].withColumn("tensors", F.lit(media.to_ipc([(0.0, 1.0)], np.ones((1, media.WINDOW, media.MELS), np.float32))))
+    other = media.extract(media.store(docs)).withColumn("tensors", F.lit(media.to_ipc([(0.0, 1.0)], np.ones((1, media.WINDOW, media.MELS), np.float32))))
     with pytest.raises(Exception, match="differs from its features"):
         media.read_back(other).collect()
 
 
 def test_media_segments_and_resampling():
     assert media.segments(np.array([0, 0.1, 1, 0.1, 0.01, 0.1, 0])) == [(1, 4)]
-    tone = np.sin(np.arange(4000) * 2 * np.pi * 440 / media.RATE_IN).astype(np.float32)
-    up = media.resample(tone)
-    spectrum = np.abs(np.fft.rfft(up[1000:7000]))
-    assert len(up) == 8000 and abs(spectrum.argmax() * media.RATE / 6000 - 440) < 4
+    tone = np.rint(127 * np.sin(np.arange(4000) * 2 * np.pi * 440 / media.RATE_IN) + 128).astype(np.uint8)
+    up = media.resample(tone, 0, 6000)
+    spectrum = np.abs(np.fft.rfft(up[600:5400]))
+    assert abs(spectrum.argmax() * media.RATE / 4800 - 440) < 4
+    assert np.array_equal(up[999:3001], media.resample(tone, 999, 3001))
+    # every output by the definition: zeros between samples, one filter over all, every DOWN-th stays
+    x = np.zeros(len(tone) * media.UP)
+    x[:: media.UP] = (tone.astype(float) - 128) / 128
+    whole = np.convolve(x, media.PHASES.T.reshape(-1))[media.UP * (media.TAPS - 1 - media.TAPS // 2) :][:: media.DOWN][:6000]
+    assert np.abs(up - whole).max() < 1e-4
+
+
+def test_media_log_mel_is_the_plain_one_in_any_slices(monkeypatch):
+    data = np.frombuffer(LONG[:20_000].encode(), np.uint8)
+    mels, energy = media.log_mel(data)
+    wave = media.resample(data, 0, 30_000)
+    for i in (0, 7, len(mels) - 1):
+        frame = np.zeros(media.FRAME)
+        frame[: len(wave[i * media.HOP :][: media.FRAME])] = wave[i * media.HOP :][: media.FRAME]
+        power = np.abs(np.fft.rfft(frame * media.HANN, media.FFT)) ** 2
+        assert np.abs(mels[i] - np.log(power @ media.BANK + 1e-6)).max() < 1e-2 and abs(energy[i] - (frame**2).mean()) < 1e-5
+    monkeypatch.setattr(media, "SLICE", 1000)
+    assert np.abs(media.log_mel(data)[0] - mels).max() < 1e-3
+
+
+def test_media_very_long_text():
+    spans, windows = media.features(media.pad(b"lorem ipsum dolor " * (20_000_000 // 18)))
+    assert len(spans) == len(windows) > 3000 and windows.shape[1:] == (media.WINDOW, media.MELS)
 
 
 def test_decontaminate(spark, docs, empty):
@@ -239,8 +282,9 @@ def test_decontaminate(spark, docs, empty):
 
 
 def test_decontaminate_in_blocks(docs, spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", 3)
-    bench = spark.createDataFrame([(i, SHARED) for i in range(3)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    bench = spark.createDataFrame([(i, SHARED.replace(" ", "\n\t"[i % 2])) for i in range(3)], "item_id long, text string")
+    assert [len(b) for b in decontaminate.blocks(bench)] == [2, 1]
     assert {r.item_id for r in decontaminate.find_leaks(docs, bench).collect()} == {0, 1, 2}
 
 
