@@ -7,11 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Directories that are never indexed, in any letter case.
-HARD_EXCLUDED = ("agents-memory", "_context-backups", ".obsidian", ".git", ".keepygaga", ".venv", "node_modules")
+#: Directories that are never indexed, in any letter case; an installation's own state stands in a hidden folder, which is not seen either.
+HARD_EXCLUDED = ("agents-memory", "_context-backups", ".obsidian", ".git", ".venv", "node_modules")
 #: Patterns of a new source.
 INCLUDE = ("**/*.md", "**/*.txt")
-EXCLUDE = ("**/.*/**", "**/.obsidian/**", "**/.git/**", "**/.keepygaga/**", "**/.venv/**", "**/node_modules/**")
+EXCLUDE = ("**/.*/**", "**/.obsidian/**", "**/.git/**", "**/.venv/**", "**/node_modules/**")
 
 
 def segment_regex(segment: str) -> str:

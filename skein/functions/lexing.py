@@ -51,8 +51,8 @@ def strip_accents(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """The sub-tokens of a text's tokens, as matching compares them."""
-    return F.filter(F.split(strip_accents(lexical_text(text)), _GAP, -1), lambda t: t != "")
+    """The sub-tokens of a text's tokens, as matching compares them; the array of one element binds the tokens, which are found once."""
+    return F.get(F.transform(F.array(lexical_text(text)), lambda t: F.filter(F.split(strip_accents(t), _GAP, -1), lambda x: x != "")), F.lit(0))
 
 
 def phrases(query: str) -> list[list[str]]:

@@ -27,8 +27,8 @@ def merge_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Per key the row that is highest in ``order``."""
-    by = Window.partitionBy(*keys).orderBy(F.desc(order))
+    """Per key the row that is highest in ``order``; of equal ones the one with the largest hash of all columns."""
+    by = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(F.xxhash64(*rows.columns)))
     return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 

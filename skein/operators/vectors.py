@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 METRICS = ("cosine", "l2", "dot")
+#: Queries of a block of a batch search.
+AT_ONCE = 1000
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -14,9 +16,9 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """Cosine distance, squared l2, or 1 - dot product, in double precision."""
+    """Cosine distance (null where a vector is zero), squared l2, or 1 - dot product, in double precision."""
     if metric == "cosine":
-        return 1 - _dot(a, b) / F.sqrt(_dot(a, a) * _dot(b, b))
+        return 1 - F.try_divide(_dot(a, b), F.sqrt(_dot(a, a) * _dot(b, b)))
     if metric == "l2":
         return F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
     if metric == "dot":
@@ -32,23 +34,30 @@ def normalize(v: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine", space: str | None = None, source_ids: list[str] | None = None) -> DataFrame:
-    """(chunk_id, score) of the k nearest vectors; filters apply before the top k."""
+    """(chunk_id, score) of the k nearest vectors; filters apply before the top k, and vectors without a distance are not ranked."""
     if space is not None:
         vectors = vectors.where(F.col("embedding_space_id") == space)
     if source_ids:
         vectors = vectors.where(F.col("source_id").isin(source_ids))
     at = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select("chunk_id", distance(F.col("vector"), at, metric).alias("score")).orderBy("score", "chunk_id").limit(k)
+    return vectors.select("chunk_id", distance(F.col("vector"), at, metric).alias("score")).where("score IS NOT NULL").orderBy("score", "chunk_id").limit(k)
 
 
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(query_id, chunk_id, score, rank) for a small, stated set of queries (query_id, query), sent to all tasks.
+    """(query_id, chunk_id, score, rank) for a stated set of queries (query_id, query), against all vectors.
 
-    The k best of a query are found in each task first (Spark's window group
-    limit), so only k rows of each task are shuffled.
+    The queries are counted and go to the tasks in blocks of about ``AT_ONCE``, a
+    scan of the vectors for each, so what is broadcast is bounded.  The k best of a
+    query are found in each task first (Spark's window group limit), so only k rows
+    of each task are shuffled.  Vectors without a distance are not ranked.
     """
-    both = vectors.select("chunk_id", "vector").join(F.broadcast(queries), F.lit(True))
-    scored = both.select("query_id", "chunk_id", distance(F.col("vector"), F.col("query"), metric).alias("score"))
+    blocks = max(1, -(-queries.count() // AT_ONCE))
+    scored = None
+    for i in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
+        both = vectors.select("chunk_id", "vector").join(F.broadcast(some), F.lit(True))
+        part = both.select("query_id", "chunk_id", distance(F.col("vector"), F.col("query"), metric).alias("score")).where("score IS NOT NULL")
+        scored = part if scored is None else scored.unionByName(part)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "chunk_id"))).where(F.col("rank") <= k)
 
 

@@ -108,7 +108,7 @@ FROM flat GROUP BY 1""",
 ), st AS (SELECT count(*) AS n, avg(n_terms) AS a FROM lengths
 ), s AS (
   SELECT query_id, chunk_id, round(0.0 - sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_terms / a))), 9) AS score
-  FROM q JOIN f USING (term) JOIN df USING (term) JOIN lengths USING (chunk_id), st WHERE term <> '' GROUP BY ALL
+  FROM q JOIN f USING (term) JOIN df USING (term) JOIN lengths USING (chunk_id), st WHERE term <> '' AND chunk_id IN (SELECT chunk_id FROM active) GROUP BY ALL
 )
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS rank FROM s) WHERE rank <= 10""",
     "knn_cosine": f"SELECT chunk_id, round(score, 9) AS score FROM (SELECT chunk_id, {_COS} AS score FROM vectors ORDER BY 2, 1 LIMIT 40)",
@@ -117,7 +117,7 @@ SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTIT
     "knn_prefilter": f"SELECT chunk_id, round(score, 9) AS score FROM (SELECT chunk_id, {_COS} AS score FROM vectors WHERE embedding_space_id = 'space-a' AND source_id IN ('src1', 'src2', 'src3', 'src4') ORDER BY 2, 1 LIMIT 40)",
     "knn_batch": """SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS rank
-  FROM (SELECT q.vec_id AS query_id, chunk_id, list_cosine_distance(vector, q.embedding::DOUBLE[]) AS score FROM vectors, (SELECT * FROM embeddings WHERE vec_id < 10) q)) WHERE rank <= 5""",
+  FROM (SELECT q.vec_id AS query_id, chunk_id, list_cosine_distance(vector, q.embedding::DOUBLE[]) AS score FROM vectors, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rank <= 5""",
     "vector_normalize": """SELECT vec_id, round(list_sum(v) / sqrt(list_inner_product(v, v)), 9) AS total, round(list_max(v) / sqrt(list_inner_product(v, v)), 9) AS largest
 FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)""",
     "vector_metadata": "SELECT chunk_id, embedding_input_hash, embedding_space_id, generation FROM vectors WHERE chunk_id IN (SELECT chunk_id FROM allowed)",
@@ -165,7 +165,7 @@ FROM files f LEFT JOIN chunks c ON c.source_file_id = f.id AND c.generation = f.
     "job_history": """SELECT row_number() OVER (ORDER BY b, s) AS place, id, status FROM (
   SELECT *, status NOT IN ('queued', 'running') AS b, CASE WHEN status IN ('queued', 'running') THEN id ELSE -id END AS s FROM jobs ORDER BY b, s LIMIT 50)""",
     "recent_runs": "SELECT count(*) FILTER (WHERE status = 'succeeded') AS n_succeeded, count(*) FILTER (WHERE status = 'failed') AS n_failed FROM (SELECT * FROM jobs WHERE status NOT IN ('queued', 'running') ORDER BY id DESC LIMIT 10)",
-    "failed_files": "SELECT f.id, display_name, relative_path, f.last_error FROM files f JOIN sources s ON s.id = f.source_id WHERE status = 'error' ORDER BY mtime_ns DESC LIMIT 20",
+    "failed_files": "SELECT f.id, display_name, relative_path, f.last_error FROM files f JOIN sources s ON s.id = f.source_id WHERE status = 'error' ORDER BY mtime_ns DESC, f.id LIMIT 20",
     "error_summary": "SELECT source_id, place, id, last_error FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY NOT contains(last_error, 'provider action required'), relative_path) AS place FROM files WHERE status = 'error') WHERE place <= 5",
     "doctor_counts": """SELECT *, CASE WHEN n_action_required > 0 THEN 'error' WHEN n_file_errors > 0 OR n_consent_current < n_sources THEN 'warning' ELSE 'ok' END AS verdict FROM (
   SELECT count(*) AS n_sources, count(*) FILTER (WHERE enabled) AS n_enabled, count(*) FILTER (WHERE auto_sync) AS n_auto_sync, count(*) FILTER (WHERE consent_identity = 'current') AS n_consent_current FROM sources), (

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexing import phrases
 from ..operators import access, fusion, lexical, vectors
+from ..sources.scratch import Scratch
 
 MAX_TOP_K = 20
 Embed = Callable[[list[str]], list[list[float]]]
@@ -47,6 +48,7 @@ class Searcher:
 
     def __init__(self, load: Callable[[str], DataFrame], consent: str, space: str, embed: Embed, rerank: Rerank, settings: Settings = Settings(), tables: tuple[str, ...] = ("text",)):
         self.load, self.consent, self.space, self.embed, self.rerank, self.settings, self.tables = load, consent, space, embed, rerank, settings, tables
+        self._indexed: tuple[tuple, lexical.Index] | None = None
 
     def _policy(self) -> list[tuple]:
         s = access.eligibility(self.load("sources"), self.consent)
@@ -103,8 +105,15 @@ class Searcher:
         out.status = "ok" if out.rows else "no_results"
         return out
 
+    def _index(self, chunks: DataFrame) -> lexical.Index:
+        """The stored index of the chunks, written again when their table has changed."""
+        key = chunks.semanticHash(), tuple(sorted(chunks.inputFiles()))
+        if self._indexed is None or self._indexed[0] != key:
+            self._indexed = key, lexical.build(chunks, Scratch(chunks.sparkSession, "index"))
+        return self._indexed[1]
+
     def _fused(self, query: str, sources: DataFrame, allowed: DataFrame, use: list[str], out: Result) -> DataFrame:
-        index = lexical.lexical_index(self.load("chunks"))
+        index = self._index(self.load("chunks"))
         live = access.active_chunks(self.load("chunks"), self.load("source_files"), sources).select("chunk_id")
         words = lexical.top(lexical.bm25(index, phrases(query)).join(live, "chunk_id", "left_semi"), self.settings.keyword_recall)
         near = words.where(F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexing import chunk_id, content_hash, input_hash, retrieval_text
-from ..operators.lexical import lexical_index
+from ..operators import lexical
 from ..sources.scratch import Scratch
 
 CONSENT = "current"
@@ -19,16 +19,22 @@ SPACE = "space-a"
 NOW = "2024-02-01 00:00:00"
 
 
+#: Indexes of this application, by folder and its documents' time and size; their files go when the driver ends.
+_INDEXES: dict[tuple, lexical.Index] = {}
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        self._index: DataFrame | None = None
 
-    def index(self) -> DataFrame:
-        """The lexical index of all chunks, written once for each query: searches read it, they don't tokenize."""
-        if self._index is None:
-            self._index = Scratch(self.spark, "index").save(lexical_index(self.chunks()), "terms")
-        return self._index
+    def index(self) -> lexical.Index:
+        """The lexical index of all chunks, written once for each state of the documents: searches read it, they don't tokenize."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/documents.parquet")
+        status = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        key = self.spark.sparkContext.applicationId, self.dir, status.getModificationTime(), status.getLen()
+        if key not in _INDEXES:
+            _INDEXES[key] = lexical.build(self.chunks(), Scratch(self.spark, "index"))
+        return _INDEXES[key]
 
     def small(self, rows: DataFrame) -> DataFrame:
         """A recall channel, of as many rows as its limit at most, as a table of its own."""

@@ -59,7 +59,7 @@ def test_identity(spark):
 def test_bm25_is_what_fts5_says(spark):
     rows = [("1", "alpha needle beta", "x", "y", "a.txt"), ("2", "alpha", "needle", "y", "b.txt"), ("3", "alpha beta", "x", "needle up", "c.txt"), ("4", "beta", "x", "y", "needle.txt"), ("5", "field-note needle a.b", "x", "", "d.txt"), ("6", "", "", "", "")]
     chunks = spark.createDataFrame(rows, "chunk_id string, text string, title string, heading_path string, filename string")
-    index = lexical.lexical_index(chunks).cache()
+    index = lexical.layout(lexical.lexical_index(chunks).cache())
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE f USING fts5(chunk_id UNINDEXED, text, title, heading_path, filename, tokenize='unicode61')")
     lex = {r.chunk_id: [r[f] for f in ("text", "title", "heading_path", "filename")] for r in chunks.select("chunk_id", *[lx.lexical_text(F.col(f)).alias(f) for f in ("text", "title", "heading_path", "filename")]).collect()}
