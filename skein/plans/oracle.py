@@ -73,6 +73,10 @@ _COMPLETE = """, complete AS (
                        WHEN there AND kept AND same AND complete THEN 'unchanged'
                        WHEN there THEN 'index' WHEN id IS NULL THEN 'ignored' WHEN seen THEN 'delete' WHEN coalesce(was, 0) + 1 >= 2 THEN 'delete' ELSE 'missing' END AS action FROM j)
 )"""
+_ROOTS = """, roots AS (
+  SELECT id, CASE WHEN substr(id, 4)::INT % 3 = 0 THEN '/data/src1/' || id ELSE absolute_path END AS path FROM sources
+)"""
+
 _ROLL = """, sc AS (
   SELECT source_id, relative_path, selected AND NOT (source_id = 'src2' AND relative_path LIKE 'de/%') AS selected FROM scope
 ), up AS (
@@ -183,6 +187,26 @@ FROM active a LEFT JOIN vectors v USING (chunk_id) GROUP BY ALL""",
     "scope_minimal_cover": _ROLL + """ SELECT source_id, path, kind FROM (
   SELECT source_id, dir AS path, 'directory' AS kind FROM full_ UNION ALL SELECT source_id, relative_path, 'file' FROM sc WHERE selected) n
 WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.source_id = n.source_id AND starts_with(n.path, f.dir || '/'))""",
+    "root_overlap": _ROOTS + " SELECT a.id AS outer_id, b.id AS inner_id FROM roots a JOIN roots b ON a.id <> b.id AND (b.path = a.path OR starts_with(b.path, a.path || '/'))",
+    "source_registration": _ROOTS + """ SELECT n.id, CASE WHEN n.id = 'src5' THEN 'id exists' ELSE 'root overlaps another' END AS why FROM roots n
+WHERE n.id = 'src5' OR substr(n.id, 4)::INT % 2 = 0 AND EXISTS (SELECT 1 FROM roots o WHERE o.id <> n.id AND (o.path = n.path OR starts_with(o.path, n.path || '/') OR starts_with(n.path, o.path || '/')))""",
+    "tree_page": _ROLL + """ SELECT source_id, path, kind FROM (SELECT source_id, dir AS path, 'directory' AS kind FROM roll UNION ALL SELECT source_id, relative_path, 'file' FROM sc)
+WHERE source_id > 'src1' OR source_id = 'src1' AND (string_split(path, '/') > ['en'] OR path = 'en' AND kind > 'directory')
+ORDER BY source_id, string_split(path, '/'), kind LIMIT 200""",
+    "scope_patterns": _ROLL + """, cover AS (SELECT source_id, path, kind FROM (
+  SELECT source_id, dir AS path, 'directory' AS kind FROM full_ UNION ALL SELECT source_id, relative_path, 'file' FROM sc WHERE selected) n
+  WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.source_id = n.source_id AND starts_with(n.path, f.dir || '/')))
+SELECT DISTINCT source_id, CASE WHEN kind = 'file' THEN path ELSE path || '/' || tail END AS pattern FROM cover, (VALUES ('**/*.md'), ('*.md'), ('**/*.txt'), ('*.txt')) v(tail)""",
+    "consent_renewal": "SELECT id FROM sources WHERE enabled AND consent_identity <> 'next' AND id NOT IN (SELECT source_id FROM jobs WHERE id % 7 = 0 AND status IN ('queued', 'running'))",
+    "source_removal": "SELECT chunk_id, source_id FROM vectors WHERE source_id IN ('src2', 'src4')",
+    "job_recovery": """SELECT source_id, CASE WHEN error IS NULL THEN status ELSE 'failed' END AS status, error, count(*) AS n FROM (
+  SELECT j.source_id, j.status, CASE WHEN j.status IN ('queued', 'running') THEN CASE WHEN NOT s.enabled THEN 'source is disabled during indexer recovery'
+    WHEN s.scope_cleanup_pending THEN 'source scope cleanup is pending during indexer recovery' END END AS error
+  FROM jobs j LEFT JOIN sources s ON s.id = j.source_id) GROUP BY ALL""",
+    "rebuild_page": """SELECT chunk_id, source_id FROM active WHERE source_id > 'src2' OR source_id = 'src2' AND (source_file_id > 100 OR source_file_id = 100 AND ordinal > 0)
+ORDER BY source_id, source_file_id, ordinal LIMIT 256""",
+    "integrity_sample": """SELECT a.chunk_id, CASE WHEN v.chunk_id IS NULL THEN 'missing' ELSE 'invalid' END AS state FROM active a LEFT JOIN vectors v USING (chunk_id)
+WHERE v.chunk_id IS NULL OR v.embedding_input_hash <> a.embedding_input_hash OR embedding_space_id <> 'space-a' ORDER BY 1 LIMIT 50""",
 }
 
 ORACLE = {name: PRELUDE + body for name, body in _BODY.items()}

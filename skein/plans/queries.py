@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexing as lx
 from ..functions.chunking import Limits, chunk_documents
 from ..functions.globs import matches_any, selected, visible
-from ..operators import access, fusion, lexical, reconcile, reports, snapshots, vectors
+from ..operators import access, catalog, fusion, lexical, reconcile, reports, snapshots, vectors
 from ..session import ship
 from .search import recall
 from .tables import CONSENT, IDENTITY, NOW, SPACE, Tables
@@ -492,3 +492,69 @@ def scope_rollup(t: Tables) -> DataFrame:
 @query
 def scope_minimal_cover(t: Tables) -> DataFrame:
     return reports.minimal_cover(_scoped(t))
+
+
+# -- catalog --------------------------------------------------------------
+
+
+def _nested(t: Tables) -> DataFrame:
+    """Sources of which every third stands under another's root."""
+    number = F.substring("id", 4, 9).cast("int")
+    return t.sources().withColumn("absolute_path", F.when(number % 3 == 0, F.concat(F.lit("/data/src1/"), "id")).otherwise(F.col("absolute_path")))
+
+
+@query
+def root_overlap(t: Tables) -> DataFrame:
+    return catalog.overlapping_roots(_nested(t))
+
+
+@query
+def source_registration(t: Tables) -> DataFrame:
+    """Sources with an even number register after the others; why some are not taken."""
+    s = _nested(t)
+    even = F.substring("id", 4, 9).cast("int") % 2 == 0
+    return catalog.register(s.where(~even), s.where(even | (F.col("id") == "src5")))[1]
+
+
+@query
+def tree_page(t: Tables) -> DataFrame:
+    """Two hundred nodes of the scopes' trees, from a node on."""
+    scoped = _scoped(t)
+    nodes = reports.directory_rollup(scoped).select("source_id", F.col("dir").alias("path"), F.lit("directory").alias("kind"))
+    nodes = nodes.unionByName(scoped.select("source_id", F.col("relative_path").alias("path"), F.lit("file").alias("kind")))
+    return catalog.tree_page(nodes, 200, ("src1", "en", "directory"))
+
+
+@query
+def scope_patterns(t: Tables) -> DataFrame:
+    return catalog.scope_patterns(reports.minimal_cover(_scoped(t)), ["**/*.md", "**/*.txt"])
+
+
+@query
+def consent_renewal(t: Tables) -> DataFrame:
+    """Sources that a renewed consent enqueues."""
+    return catalog.renew_consent(t.sources(), t.jobs().where("id % 7 = 0"), "next")[1]
+
+
+@query
+def source_removal(t: Tables) -> DataFrame:
+    """Vectors queued for deletion when two sources go."""
+    return catalog.remove(t.sources(), t.files(), t.vectors(), ["src2", "src4"])[2].select("chunk_id", "source_id")
+
+
+@query
+def job_recovery(t: Tables) -> DataFrame:
+    return catalog.recovered(t.jobs(), t.sources()).groupBy("source_id", "status", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def rebuild_page(t: Tables) -> DataFrame:
+    """The page of active chunks behind a key."""
+    live = access.active_chunks(t.chunks(), t.files(), t.sources())
+    return catalog.rebuild_page(live, ("src2", 100, 0)).select("chunk_id", "source_id")
+
+
+@query
+def integrity_sample(t: Tables) -> DataFrame:
+    live = access.active_chunks(t.chunks(), t.files(), t.sources())
+    return catalog.failing_sample(vectors.integrity(live, t.vectors(), SPACE)).select("chunk_id", "state")
