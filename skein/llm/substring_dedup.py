@@ -4,11 +4,16 @@ Every place where a window of ``WINDOW`` words stands is a suffix.  Suffixes are
 dealt into groups by prefixes of variable length: a cell of the trie of word
 hashes (one, two or three words, and the whole window where three words still
 hold too many) belongs to one group, and cells are packed so that a group fits
-in a task's memory.  The plan comes from a histogram of all suffixes over a
-fixed number of cells.  Within a group the suffixes are sorted, which lays the
-subtree out: a run of suffixes that agree on the window is an internal node of
-depth ``WINDOW`` or more, that is, a repeat.  Of its suffixes those whose document
-is not the smallest are marked, and words under a marked window go.
+in a task's memory; tasks grow in number with the groups.  The plan comes from a
+histogram of all suffixes over a fixed number of cells.  Within a group the
+suffixes are sorted by their window: a run of suffixes that agree on it stands for
+an internal node of depth ``WINDOW`` or more, that is, a repeat.  Of its suffixes
+those whose document is not the smallest are marked, and words under a marked
+window go.
+
+Windows are compared by 80 bits within their group: a 64-bit hash and 16 bits of a
+second, independent one, whose other bits deal out cells that are too large.  Of N
+windows in groups of G, N * G / 2**81 pairs are expected to agree by chance.
 
 A batch of documents settles its own repeats first and sends a repeat's smallest
 document only, so a passage that a third of all documents share arrives in its
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch
-from .words import CHUNK_BYTES, chunks, hash_words, rolling, utf8
+from .words import CHUNK_BYTES, chunks, hash_words, mix, rolling, utf8
 
 WINDOW = 13
 #: Suffixes of a group at most, where its prefix can be longer.
@@ -46,8 +51,12 @@ CELLS = 1 << (BITS * DEPTH)
 BATCH_BYTES = 8 << 20
 
 
-def _suffixes(texts: list[bytes | None], window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each chunk: (first text, hash, text, place, prefix cell) of its suffixes."""
+#: Turns word hashes into those of the second window hash.
+_SECOND = np.uint64(0x8CB92BA72F3D8DD7)
+
+
+def _suffixes(texts: list[bytes | None], window: int, second: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """For each chunk: (hash, text, place, prefix cell, second hash) of its suffixes."""
     for first, part in chunks(texts, CHUNK_BYTES):
         words, bounds = hash_words(part, lower=False)
         runs = rolling(words, window)
@@ -57,7 +66,19 @@ def _suffixes(texts: list[bytes | None], window: int) -> Iterator[tuple[int, np.
         for j in range(DEPTH):
             cell = (cell << BITS) | (words[inside + j] >> np.uint64(64 - BITS)).astype(np.int64)
         doc = doc[inside]
-        yield first, runs[inside], doc + first, inside - bounds[doc], cell
+        yield runs[inside], doc + first, inside - bounds[doc], cell, rolling(mix(words + _SECOND), window)[inside] if second else None
+
+
+def _runs(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, head): an order in which equal windows are together, and where in it a window begins."""
+    order = np.argsort(hashes)
+    for _ in range(2):
+        h, c = hashes[order], checks[order]
+        same, differ = h[1:] == h[:-1], c[1:] != c[:-1]
+        if not (same & differ).any():
+            break
+        order = np.lexsort((checks, hashes))
+    return order, np.concatenate(([True], ~same | differ))
 
 
 def histogram(docs: DataFrame, window: int = WINDOW) -> np.ndarray:
@@ -67,7 +88,7 @@ def histogram(docs: DataFrame, window: int = WINDOW) -> np.ndarray:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                for *_, cell in _suffixes(utf8(batch.column("text").slice(at, 500)), window):
+                for _, _, _, cell, _ in _suffixes(utf8(batch.column("text").slice(at, 500)), window, second=False):
                     total += np.bincount(cell, minlength=CELLS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["cell", "n"])
@@ -81,7 +102,7 @@ def histogram(docs: DataFrame, window: int = WINDOW) -> np.ndarray:
 def deal(cells: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
     """(group, parts) of each cell: prefixes are lengthened until they hold ``target`` suffixes at most, then packed.
 
-    A cell that is too large at full depth is dealt into ``parts`` groups by whole windows.
+    A cell that is too large at full depth is dealt into ``parts`` groups by the windows' second hash.
     """
     group, parts = np.zeros(CELLS, np.int64), np.ones(CELLS, np.int64)
     step, now, held = 1 << BITS, 0, 0
@@ -144,27 +165,27 @@ def _send(docs: DataFrame, group: np.ndarray, parts: np.ndarray, window: int) ->
         known = np.array([i is not None for i in ids])
         doc_id = np.array([i or 0 for i in ids], dtype=np.int64)
         text = np.array(batch.column("text_hash").to_pylist(), dtype=np.int64)
-        found = [(h[k], d[k], p[k].astype(np.int64), c[k]) for _, h, d, p, c in _suffixes([t if k else None for t, k in zip(texts, known, strict=True)], window) for k in [known[d]]]
+        # a row without a doc_id has no suffixes
+        found = [(h, d, p.astype(np.int64), c, s) for h, d, p, c, s in _suffixes([t if k else None for t, k in zip(texts, known, strict=True)], window)]
         if not found:
             return
-        h, d, p, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        h, d, p, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(h):
             return
-        order = np.argsort(h)
-        ordered = h[order]
-        head = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        check = (s >> np.uint64(48)).astype("<u2")
+        order, head = _runs(h, check)
         least = np.minimum.reduceat(doc_id[d[order]], np.flatnonzero(head))
         mine = np.empty(len(h), bool)
         mine[order] = doc_id[d[order]] == least[np.cumsum(head) - 1]
-        to = group[c] + (h % parts[c].astype(np.uint64)).astype(np.int64)
+        to = group[c] + ((s & np.uint64(0xFFFFFFFF)) % parts[c].astype(np.uint64)).astype(np.int64)
         # marks travel with the suffixes, dealt by document
         to[~mine] = text[d[~mine]] % groups
         order = np.lexsort((d, ~mine, to))  # places ascend within a document: chunks are in order and the sort is stable
-        h, d, p, to, mine = h[order], d[order], p[order], to[order], mine[order]
+        h, check, d, p, to, mine = h[order], check[order], d[order], p[order], to[order], mine[order]
         cut = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (mine[1:] != mine[:-1]))))
         rows = []
         for a, b in zip(cut, [*cut[1:], len(to)], strict=True):
-            rows.append((int(to[a]), *_pack(doc_id[d[a:b]], text[d[a:b]], p[a:b]), h[a:b].tobytes() if mine[a] else None))
+            rows.append((int(to[a]), *_pack(doc_id[d[a:b]], text[d[a:b]], p[a:b]), *((h[a:b].tobytes(), check[a:b].tobytes()) if mine[a] else (None, None))))
             if len(rows) == 256:
                 yield _batch(rows)
                 rows = []
@@ -173,9 +194,9 @@ def _send(docs: DataFrame, group: np.ndarray, parts: np.ndarray, window: int) ->
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["grp", *_PACKED, "hashes"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["grp", *_PACKED, "hashes", "checks"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", text_hash(F.col("text")).alias("text_hash")).mapInArrow(run, _DEALT + ", hashes binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", text_hash(F.col("text")).alias("text_hash")).mapInArrow(run, _DEALT + ", hashes binary, checks binary")
 
 
 def _repeats(buckets: int):
@@ -186,13 +207,12 @@ def _repeats(buckets: int):
         parts = [_unpack(r) for r in rows]
         ids, texts, places = (np.concatenate(x) for x in zip(*parts, strict=True))
         open_ = np.repeat([r["hashes"] is not None for r in rows], [len(x[0]) for x in parts])
-        hashes = np.concatenate([np.frombuffer(r["hashes"] or b"", "<u8") for r in rows])
+        hashes, checks = (np.concatenate([np.frombuffer(r[k] or b"", kind) for r in rows]) for k, kind in (("hashes", "<u8"), ("checks", "<u2")))
         del rows, parts
         marked, at = ~open_, np.flatnonzero(open_)
         if len(at):
-            order = np.argsort(hashes)
-            at, ordered = at[order], hashes[order]
-            head = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+            order, head = _runs(hashes, checks)
+            at = at[order]
             least = np.minimum.reduceat(ids[at], np.flatnonzero(head))
             marked[at] = ids[at] > least[np.cumsum(head) - 1]
         return _buckets(ids[marked], texts[marked], places[marked])
@@ -228,11 +248,14 @@ def marks(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     target = max(1, min(GROUP_SUFFIXES, -(-int(cells.sum()) // least)))
     group, parts = deal(cells, target)
-    found = _send(docs, group, parts, window).groupBy("grp").applyInArrow(_repeats(int((group + parts).max())), _DEALT)
+    groups = int((group + parts).max())
+    # as many tasks as groups: what a task reads does not grow with the documents
+    tasks = max(least, groups)
+    found = _send(docs, group, parts, window).repartition(tasks, "grp").groupBy("grp").applyInArrow(_repeats(groups), _DEALT)
     saved = scratch.save(found, "marks")
     del found
     scratch.tidy()
-    return saved.groupBy("grp").applyInArrow(_gather, "doc_id long, text_hash long, places binary")
+    return saved.repartition(tasks, "grp").groupBy("grp").applyInArrow(_gather, "doc_id long, text_hash long, places binary")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

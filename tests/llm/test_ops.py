@@ -400,6 +400,11 @@ def test_prefixes_are_lengthened_and_packed():
     assert load.max() <= 100
 
 
+def test_windows_that_share_a_hash_are_told_by_the_second():
+    order, head = substring_dedup._runs(np.array([7, 3, 7, 7, 3], np.uint64), np.array([1, 5, 2, 1, 5], np.uint16))
+    assert head.tolist() == [True, False, True, False, True] and set(order[:2]) == {1, 4} and set(order[2:4]) == {0, 3}
+
+
 def test_word_hashes_do_not_depend_on_the_chunk():
     a, _ = hash_words([b"x y", b"", b"zz x"], lower=True)
     b, bounds = hash_words([b"ZZ  X\t"], lower=True)
