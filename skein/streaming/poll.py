@@ -1,7 +1,8 @@
 """Polling as a stream: new files under a folder, reconciled in micro-batches.
 
 The file source reports new paths only; edits and deletions need the batch
-reconciliation over a whole scan (operators.reconcile), which the callback runs.
+reconciliation over a whole scan: :func:`poll_source` calls it for each batch of
+arrivals, and a timer for edits and deletions is the caller's.
 """
 
 from __future__ import annotations
@@ -20,6 +21,16 @@ def poll_text(spark: SparkSession, folder: str, checkpoint: str, handle: Callabl
     if seconds is not None and seconds not in INTERVALS:
         raise ValueError(f"seconds must be one of {INTERVALS}")
     files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(folder)
-    rows = files.select(F.input_file_name().alias("relative_path"), F.col("value").alias("content"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/") + "/"
+    # file_path is a URI: what stands behind the root, with its escapes resolved
+    full = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    relative = F.expr("substring(_full, instr(_full, _root) + length(_root))")
+    rows = files.select(full.alias("_full"), F.lit(root).alias("_root"), F.col("value").alias("content")).select(relative.alias("relative_path"), "content")
     trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
     return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def poll_source(spark: SparkSession, folder: str, checkpoint: str, sync: Callable[[], object], seconds: int | None = None) -> StreamingQuery:
+    """Synchronise a source (plans.ingest.sync) whenever files arrive under its folder."""
+    return poll_text(spark, folder, checkpoint, lambda rows, n: sync(), seconds)

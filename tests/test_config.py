@@ -24,9 +24,9 @@ def test_polling_sees_new_files_once(spark, tmp_path):
     (tmp_path / "in/a.txt").write_text("one\ntwo")
     seen = []
     for _ in range(2):
-        q = poll_text(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/check", lambda df, i: seen.extend(r.content for r in df.collect()))
+        q = poll_text(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/check", lambda df, i: seen.extend((r.relative_path, r.content) for r in df.collect()))
         q.awaitTermination(60)
-        (tmp_path / "in/b.txt").write_text("three")
-    assert sorted(seen) == ["one\ntwo", "three"]
+        (tmp_path / "in/b c+.txt").write_text("three")
+    assert sorted(seen) == [("a.txt", "one\ntwo"), ("b c+.txt", "three")]
     with pytest.raises(ValueError):
         poll_text(spark, "x", "y", print, seconds=5)
