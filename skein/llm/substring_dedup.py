@@ -166,22 +166,25 @@ def _send(docs: DataFrame, group: np.ndarray, parts: np.ndarray, window: int) ->
         doc_id = np.array([i or 0 for i in ids], dtype=np.int64)
         text = np.array(batch.column("text_hash").to_pylist(), dtype=np.int64)
         # a row without a doc_id has no suffixes
-        found = [(h, d, p.astype(np.int64), c, s) for h, d, p, c, s in _suffixes([t if k else None for t, k in zip(texts, known, strict=True)], window)]
+        found = []
+        for h, d, p, c, s in _suffixes([t if k else None for t, k in zip(texts, known, strict=True)], window):
+            part = ((s & np.uint64(0xFFFFFFFF)) % parts[c].astype(np.uint64)).astype(np.int32)
+            found.append((h, d.astype(np.int32), p.astype(np.int32), group[c].astype(np.int32) + part, (s >> np.uint64(48)).astype("<u2")))
         if not found:
             return
-        h, d, p, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        h, d, p, to, check = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
         if not len(h):
             return
-        check = (s >> np.uint64(48)).astype("<u2")
         order, head = _runs(h, check)
         least = np.minimum.reduceat(doc_id[d[order]], np.flatnonzero(head))
         mine = np.empty(len(h), bool)
-        mine[order] = doc_id[d[order]] == least[np.cumsum(head) - 1]
-        to = group[c] + ((s & np.uint64(0xFFFFFFFF)) % parts[c].astype(np.uint64)).astype(np.int64)
+        mine[order] = doc_id[d[order]] == least[np.cumsum(head, dtype=np.int32) - 1]
         # marks travel with the suffixes, dealt by document
         to[~mine] = text[d[~mine]] % groups
         order = np.lexsort((d, ~mine, to))  # places ascend within a document: chunks are in order and the sort is stable
         h, check, d, p, to, mine = h[order], check[order], d[order], p[order], to[order], mine[order]
+        del order
         cut = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (mine[1:] != mine[:-1]))))
         rows = []
         for a, b in zip(cut, [*cut[1:], len(to)], strict=True):
