@@ -13,12 +13,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Each round writes its edges, which also cuts the lineage.  A large star
     links larger neighbours to the smallest; a small star links a node and its
-    smaller neighbours to their smallest.  When neither changes an edge, each
-    node stands on its root.
+    smaller neighbours to their smallest.  Rounds end when every node has one
+    edge to a root and no root has an edge of its own.
     """
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    told = _digest(now)
-    while told[0]:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -26,13 +25,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         new = scratch.save(small, "edges")
         scratch.drop(now)
-        was, told, now = told, _digest(new), new
-        if was == told:
-            break
+        now = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()).distinct()
 
 
-def _digest(edges: DataFrame) -> tuple[int, str | None]:
-    """Number and an order-free digest of edges."""
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).cast("string").alias("s")).first()
-    return r["n"], r["s"]
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node has two smaller neighbours, or a smaller and a larger one."""
+    up = edges.select(F.col("a").alias("node"), F.lit(1).alias("lower"), F.lit(0).alias("upper"))
+    down = edges.select(F.col("b").alias("node"), F.lit(0).alias("lower"), F.lit(1).alias("upper"))
+    nodes = up.unionByName(down).groupBy("node").agg(F.sum("lower").alias("lower"), F.max("upper").alias("upper"))
+    return nodes.where("lower > 1 OR lower = 1 AND upper = 1").isEmpty()

@@ -188,8 +188,8 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scrat
     return links
 
 
-def link_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signatures, classes, links): links (a, b) join classes to components; those within a component are not all listed."""
+def place_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(sizes, classes): (doc_id, n, cid) of each row; (cid, rep, gid, n, root) of each class, root being its component."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     sigs = scratch.save(signatures(docs, frequencies(docs, k), percent, k), "signatures")
     slim = scratch.save(sigs.select("doc_id", "n", "cid"), "sizes")
@@ -214,7 +214,7 @@ def link_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> t
     pairs = class_pairs(_meetings(shared, None, percent)).unionByName(within.withColumn("hub_b", F.lit(False)))
     tried = scratch.save(pairs, "tried")
     links = verify(tried, classes, docs, scratch, percent, k)
-    placed = _place(classes, links, scratch)
+    placed = _place(classes.select("cid", "rep", "gid", "n", F.col("cid").alias("root")), links, scratch, own=True)
     # a list whose members are one component stays so: later rounds read the lists that are still open
     open_ = scratch.save(_open(shared, placed), "open")
     scratch.drop(shared)
@@ -227,8 +227,7 @@ def link_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> t
         tried = scratch.save(tried.unionByName(new), "tried")
         if found.isEmpty():
             break
-        links = scratch.save(links.unionByName(found), "links")
-        placed, was = _place(classes, links, scratch), open_
+        placed, was = _place(placed, found, scratch), open_
         open_ = scratch.save(_open(was.drop("r0", "r1"), placed), "open")
         scratch.drop(was)
     # last pass: group pairs across components
@@ -249,7 +248,7 @@ def link_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> t
     rest = expanded.unionByName(inner).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("hub_b")).distinct()
     rest = scratch.save(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     more = verify(rest, classes, docs, scratch, percent, k)
-    return slim, classes, links.unionByName(more)
+    return slim, _place(placed, more, scratch)
 
 
 def _postings(groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -282,10 +281,18 @@ def _meetings(lists: DataFrame, turn: int | None, percent: int) -> DataFrame:
     return met.where(_may_link("o.n", "o.p", "n", "p", percent)).select(F.col("o.gid").alias("hub"), "gid")
 
 
-def _place(classes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(cid, gid, n, root): classes with the component that the links so far put them in."""
-    roots = components(links, scratch)
-    return scratch.save(classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "gid", "n", F.coalesce("root", "cid").alias("root")), "placed")
+def _place(placed: DataFrame, links: DataFrame, scratch: Scratch, own: bool = False) -> DataFrame:
+    """Classes with the components that further links (a, b) put them in; ``own``: so far each is its own component.
+
+    Links are read as links between components, so that a round costs what it has found, not what is known.
+    """
+    if links.isEmpty():
+        return placed
+    if not own:
+        roots = placed.select("cid", "root")
+        links = links.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    moved = components(links, scratch).toDF("root", "to")
+    return scratch.save(placed.join(moved, "root", "left").select("cid", "rep", "gid", "n", F.coalesce("to", "root").alias("root")), "placed")
 
 
 def _spans(placed: DataFrame) -> DataFrame:
@@ -302,12 +309,9 @@ def _open(shared: DataFrame, placed: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that links reach."""
-    sigs, classes, links = link_classes(docs, percent, k)
-    scratch = Scratch(docs.sparkSession, "components")
-    roots = components(links, scratch)
-    named = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
-    name = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    component = scratch.save(named.join(name, "root").select("cid", "component_id"), "named")
+    sigs, placed = place_classes(docs, percent, k)
+    name = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    component = Scratch(docs.sparkSession, "components").save(placed.join(name, "root").select("cid", "component_id"), "named")
     return sigs.join(component, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
