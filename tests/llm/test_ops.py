@@ -193,6 +193,21 @@ def test_components_reach_the_smallest(spark):
     assert components(edges.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_later_links_join_known_components(spark):
+    """Links found one after the other place classes as all of them at once do; links within a component change nothing."""
+    scratch = Scratch(spark, "t")
+    rng = np.random.default_rng(4)
+    rounds = [[(int(a), int(b)) for a, b in rng.integers(0, 60, (25, 2)) if a < b] for _ in range(3)] + [[]]
+    placed = spark.createDataFrame([(i, i, i, 9, i) for i in range(60)], "cid long, rep long, gid long, n long, root long")
+    for i, links in enumerate(rounds):
+        placed = jaccard_join._place(placed, spark.createDataFrame(links, "a long, b long"), scratch, own=i == 0)
+    root = list(range(60))
+    for a, b in [x for r in rounds for x in r]:
+        low, high = sorted((root[a], root[b]))
+        root = [low if x == high else x for x in root]
+    assert {r.cid: r.root for r in placed.collect()} == dict(enumerate(root))
+
+
 def test_media(docs, empty):
     got = {r.doc_id: r for r in media.extract(media.store(docs)).collect() if r.doc_id is not None}
     for i, t, _ in ROWS:
