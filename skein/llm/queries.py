@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup, media, sentencepiece_codec, substring_dedup, token_counts
+from . import chat_format, decontaminate, hard_negatives, jaccard_join, language_id, license_scan, line_dedup, media, merkle_manifest, secret_scan, sentencepiece_codec, substring_dedup, token_counts
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,9 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": chat_format.query,
         "op9_sentencepiece": sentencepiece_codec.query,
         "op10_substring_dedup": substring_dedup.query,
+        "op11_merkle_manifest": merkle_manifest.query,
+        "op12_secret_scan": secret_scan.query,
+        "op13_hard_negatives": hard_negatives.query,
     }
     return {name: _shipped(query) for name, query in plain.items()}
 
@@ -45,4 +48,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontaminate": decontaminate.SQL,
         "op8_chat_format": chat_format.SQL,
         "op10_substring_dedup": substring_dedup.SQL,
+        "op11_merkle_manifest": merkle_manifest.SQL,
+        "op12_secret_scan": secret_scan.SQL,
+        "op13_hard_negatives": hard_negatives.SQL,
     }
