@@ -141,8 +141,12 @@ def _summed(runs: list[DataFrame]) -> DataFrame:
 def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, runs: LineRuns | None = None) -> DataFrame:
     """``docs`` with its text less the lines that ``min_docs`` documents hold, and columns n_lines and n_dropped (such columns are replaced).
 
-    ``runs`` may hold earlier batches, which count too; these documents are added to it.
+    ``runs`` may hold earlier batches, which count too; these documents are added to
+    it.  A run stops counting a line that ``settled`` documents hold, so ``min_docs``
+    above that is an error.  A document that comes in two calls counts in both.
     """
+    if runs is not None and min_docs > runs.settled:
+        raise ValueError(f"min_docs ({min_docs}) is above the runs' settled ({runs.settled}): lines are not counted that far")
     docs = docs.drop("n_lines", "n_dropped", "_id", "_hash", "_gone")
     scratch = Scratch(docs.sparkSession, "lines")
     table = scratch.save(line_table(docs, batches), "hashes", by="batch")

@@ -21,7 +21,7 @@ group once for each batch.
 
 Nulls, ties and edges: a null text has no words; a text shorter than a window
 loses nothing; rows that repeat a doc_id are one document (they do not mark each
-other) but keep their own texts; a row with a null doc_id neither loses words
+other) but keep their own texts, told apart by 64 bits; a row with a null doc_id neither loses words
 nor makes others lose any; an empty table gives an empty result; other columns
 pass through :func:`drop_repeats` unchanged.
 """
@@ -136,13 +136,13 @@ def _pack(doc_id: np.ndarray, text: np.ndarray, place: np.ndarray) -> tuple[byte
     first = np.flatnonzero(np.concatenate(([True], (doc_id[1:] != doc_id[:-1]) | (text[1:] != text[:-1]))))
     steps = np.diff(place, prepend=place[:1])
     steps[first] = place[first]
-    parts = np.diff(doc_id[first], prepend=0), text[first].astype("<u4"), np.diff(np.append(first, len(place))).astype("<u4"), steps.astype("<u4")
+    parts = np.diff(doc_id[first], prepend=0), text[first].astype("<i8"), np.diff(np.append(first, len(place))).astype("<u4"), steps.astype("<u4")
     return tuple(zstandard.compress(np.ascontiguousarray(x).tobytes(), 1) for x in parts)
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id, text, place) of each suffix of a packed row."""
-    doc_id, text, counts, steps = (np.frombuffer(zstandard.decompress(row[k]), kind).astype(np.int64) for k, kind in zip(_PACKED, ("<i8", "<u4", "<u4", "<u4"), strict=True))
+    doc_id, text, counts, steps = (np.frombuffer(zstandard.decompress(row[k]), kind).astype(np.int64) for k, kind in zip(_PACKED, ("<i8", "<i8", "<u4", "<u4"), strict=True))
     run, first = np.cumsum(steps), np.cumsum(counts) - counts
     return np.repeat(np.cumsum(doc_id), counts), np.repeat(text, counts), run - np.repeat(run[first] - steps[first], counts)
 
@@ -241,8 +241,8 @@ def _gather(table: pa.Table) -> pa.Table:
 
 
 def text_hash(text: Column) -> Column:
-    """32 bits that tell the texts of rows with one doc_id apart."""
-    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))
+    """64 bits that tell the texts of rows with one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def marks(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:

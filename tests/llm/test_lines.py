@@ -1,5 +1,6 @@
 """Line dedup: what a document is, long documents, and runs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import line_dedup
@@ -32,3 +33,12 @@ def test_settled_lines_leave_later_batches(spark):
     tables = spark.sql("SHOW TABLES").where(F.col("tableName").startswith("skein_run_")).count()
     runs.close()
     assert tables == 1 and spark.sql("SHOW TABLES").where(F.col("tableName").startswith("skein_run_")).count() == 0
+
+
+def test_runs_that_settle_too_early_are_refused(spark):
+    docs = spark.createDataFrame([(i, "same") for i in range(40)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="settled"):
+        line_dedup.drop_common_lines(docs, min_docs=30, runs=line_dedup.LineRuns(spark, settled=10))
+    runs = line_dedup.LineRuns(spark, settled=30)
+    assert line_dedup.drop_common_lines(docs, min_docs=30, runs=runs).where("n_dropped = 1").count() == 40
+    runs.close()
