@@ -55,6 +55,12 @@ def terms(text: Column) -> Column:
     return F.get(F.transform(F.array(lexical_text(text)), lambda t: F.filter(F.split(strip_accents(t), _GAP, -1), lambda x: x != "")), F.lit(0))
 
 
+def phrase_arrays(text: Column) -> Column:
+    """A text's distinct tokens, each as the run of sub-tokens that it must match."""
+    runs = F.transform(tokens(text), lambda t: F.filter(F.split(strip_accents(t), _GAP, -1), lambda x: x != ""))
+    return F.array_distinct(F.filter(runs, lambda r: F.size(r) > 0))
+
+
 def phrases(query: str) -> list[list[str]]:
     """A query's tokens, each as the run of sub-tokens it must match; computed on the driver."""
     import regex

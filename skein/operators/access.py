@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.globs import selected
+from ..functions.globs import EXCLUDE, INCLUDE, selected
 
 
 def eligibility(sources: DataFrame, consent: str) -> DataFrame:
@@ -30,10 +30,24 @@ def active_chunks(chunks: DataFrame, files: DataFrame, sources: DataFrame) -> Da
     return chunks.join(live, ["source_file_id", "generation"]).join(on, "source_id", "left_semi")
 
 
+def in_scope(sources: DataFrame, source: Column, path: Column) -> Column:
+    """The path is in the scope of its source: of the source's own patterns, or the default ones where it has none.
+
+    Sources are few: their patterns come to the driver, and sources of equal patterns share an expression.
+    """
+    by: dict[tuple, list[str]] = {}
+    for r in sources.select("id", "include_patterns", "exclude_patterns").collect():
+        scope = INCLUDE if r["include_patterns"] is None else r["include_patterns"], EXCLUDE if r["exclude_patterns"] is None else r["exclude_patterns"]
+        by.setdefault(tuple(map(tuple, scope)), []).append(r["id"])
+    out = F.lit(False)
+    for (include, exclude), ids in by.items():
+        out = out | (source.isin(ids) & selected(path, include, exclude))
+    return out
+
+
 def authorized(chunks: DataFrame, eligible_sources: DataFrame) -> DataFrame:
-    """Active chunks of eligible sources whose path is in scope."""
-    kept = chunks.join(eligible_sources.select(F.col("id").alias("source_id")), "source_id", "left_semi")
-    return kept.where(selected(F.col("relative_path")))
+    """Active chunks of eligible sources whose path is in their source's scope."""
+    return chunks.where(in_scope(eligible_sources, F.col("source_id"), F.col("relative_path")))
 
 
 def in_order(chunks: DataFrame, ids: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .snapshots import Conflict, merge_rows
 
@@ -59,13 +60,14 @@ def scope_patterns(cover: DataFrame, patterns: Sequence[str]) -> DataFrame:
 
 
 def register(sources: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sources with the accepted rows, rejected (id, why)): ids are new, and roots overlap no other root, old or new."""
+    """(sources with the accepted rows, rejected (id, why)): ids are new and stand once, and roots overlap no other root, old or new."""
     both = sources.select("id", "absolute_path").unionByName(new.select("id", "absolute_path"))
     pairs = overlapping_roots(both)
     overlaps = pairs.select(F.col("outer_id").alias("id")).unionByName(pairs.select(F.col("inner_id").alias("id"))).distinct()
     known = sources.select("id").distinct()
-    why = new.join(known.withColumn("_known", F.lit(True)), "id", "left").join(overlaps.withColumn("_over", F.lit(True)), "id", "left")
-    why = why.withColumn("why", F.when(F.col("_known"), "id exists").when(F.col("_over"), "root overlaps another"))
+    once = new.withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    why = once.join(known.withColumn("_known", F.lit(True)), "id", "left").join(overlaps.withColumn("_over", F.lit(True)), "id", "left")
+    why = why.withColumn("why", F.when(F.col("_known"), "id exists").when(F.col("_times") > 1, "id repeats").when(F.col("_over"), "root overlaps another"))
     taken = why.where("why IS NULL").select(*sources.columns)
     return sources.unionByName(taken), why.where("why IS NOT NULL").select("id", "why")
 
@@ -84,10 +86,18 @@ def renew_consent(sources: DataFrame, jobs: DataFrame, identity: str) -> tuple[D
     return renewed, stale.join(busy, "id", "left_anti").select("id")
 
 
-def remove(sources: DataFrame, files: DataFrame, vectors: DataFrame, ids: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sources, files, tombstones) after the removal of sources: their vectors' ids are queued for deletion."""
-    gone = F.col("source_id").isin(list(ids))
-    return sources.where(~F.col("id").isin(list(ids))), files.where(~gone), vectors.where(gone).select("chunk_id", "source_id", F.lit(True).alias("scope_cleanup"))
+def removal_refusals(sources: DataFrame, jobs: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """(id, why) of the sources that may not be removed now: unknown ones, those with an open job, and those with a pending clean-up."""
+    asked = sources.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
+    busy = jobs.where(F.col("status").isin(*OPEN)).select(F.col("source_id").alias("id"), F.lit(True).alias("_busy")).distinct()
+    held = asked.join(sources.select("id", F.coalesce("scope_cleanup_pending", F.lit(False)).alias("_pending")), "id", "left").join(busy, "id", "left")
+    why = F.when(F.col("_pending").isNull(), "unknown").when(F.col("_busy"), "a job is open").when(F.col("_pending"), "a scope cleanup is pending")
+    return held.select("id", why.alias("why")).where("why IS NOT NULL")
+
+
+def tombstones(vectors: DataFrame, now: Column) -> DataFrame:
+    """Tombstones of the vectors of sources that go."""
+    return vectors.select("chunk_id", "source_id", F.lit(True).alias("scope_cleanup"), now.alias("queued_at"))
 
 
 def recovered(jobs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -98,11 +108,6 @@ def recovered(jobs: DataFrame, sources: DataFrame) -> DataFrame:
     return out.withColumns({"error": error, "status": F.when(error.isNotNull(), "failed").otherwise(F.col("status"))}).drop("_error")
 
 
-def with_profiles(tables: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Knowledge tables with their retrieval profile, null where a table has none."""
-    return tables.join(profiles, "profile_id", "left")
-
-
 # -- vectors --------------------------------------------------------------
 
 

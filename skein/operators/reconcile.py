@@ -77,6 +77,11 @@ def merge_tombstones(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("chunk_id").agg(F.min("source_id").alias("source_id"), F.max("scope_cleanup").alias("scope_cleanup"), F.min("queued_at").alias("queued_at"))
 
 
+def binding(tombstones: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Tombstones that count: those whose chunk is not indexed."""
+    return tombstones.join(chunks.select("chunk_id"), "chunk_id", "left_anti")
+
+
 def rechunk_plan(reasons: DataFrame, files: DataFrame) -> DataFrame:
     """(outcome, n_sources, n_files) of a change of chunk settings: queued, or the reason that skips a source (see access.eligibility)."""
     marked = files.where("active_generation > 0").groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))

@@ -105,14 +105,18 @@ FROM flat GROUP BY 1""",
     "fts_source_filter": _FOUR + " SELECT chunk_id, round(score, 9) AS score FROM (SELECT chunk_id, score FROM bm JOIN active USING (chunk_id) WHERE source_id IN ('src1', 'src2', 'src3') ORDER BY score, chunk_id LIMIT 20)",
     "fts_batch_topk": """, w(field, w) AS (VALUES ('text', 1.0::DOUBLE), ('title', 6.0), ('heading_path', 4.0), ('filename', 2.0)
 ), q AS (
-  SELECT DISTINCT item_id AS query_id, unnest(string_split_regex(strip_accents(tok), '[^\\p{L}\\p{N}\\p{M}\\p{Co}]+')) AS term
-  FROM (SELECT item_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_.+#/-]+')) AS tok FROM benchmark)
-), f AS (SELECT chunk_id, term, sum(w) AS f FROM terms JOIN w USING (field) WHERE term IN (SELECT term FROM q) GROUP BY ALL
-), df AS (SELECT term, count(*) AS df FROM f GROUP BY 1
+  SELECT DISTINCT query_id, array_to_string(run, ' ') AS phrase, run FROM (
+    SELECT item_id AS query_id, list_filter(string_split_regex(strip_accents(trim(tok, '_-/')), '[^\\p{L}\\p{N}\\p{M}\\p{Co}]+'), lambda x: x <> '') AS run
+    FROM (SELECT item_id, unnest(regexp_extract_all(replace(lower(text || ' doc-' || item_id || '.txt'), 'ß', 'ss'), '[\\p{L}\\p{N}_.+#/-]+')) AS tok FROM benchmark)) WHERE len(run) > 0
+), parts AS (SELECT phrase, len(run) AS size, unnest(run) AS term, generate_subscripts(run, 1) AS j FROM (SELECT DISTINCT phrase, run FROM q)
+), f AS (
+  SELECT chunk_id, phrase, sum(w) AS f FROM (
+    SELECT chunk_id, field, phrase FROM terms JOIN parts USING (term) GROUP BY chunk_id, field, phrase, size, place - j HAVING count(*) = size) JOIN w USING (field) GROUP BY ALL
+), df AS (SELECT phrase, count(*) AS df FROM f GROUP BY 1
 ), st AS (SELECT count(*) AS n, avg(n_terms) AS a FROM lengths
 ), s AS (
   SELECT query_id, chunk_id, round(0.0 - sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_terms / a))), 9) AS score
-  FROM q JOIN f USING (term) JOIN df USING (term) JOIN lengths USING (chunk_id), st WHERE term <> '' AND chunk_id IN (SELECT chunk_id FROM active) GROUP BY ALL
+  FROM q JOIN f USING (phrase) JOIN df USING (phrase) JOIN lengths USING (chunk_id), st WHERE chunk_id IN (SELECT chunk_id FROM active) GROUP BY ALL
 )
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS rank FROM s) WHERE rank <= 10""",
     "knn_cosine": f"SELECT chunk_id, round(score, 9) AS score FROM (SELECT chunk_id, {_COS} AS score FROM vectors ORDER BY 2, 1 LIMIT 40)",
@@ -125,7 +129,8 @@ SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTIT
     "vector_normalize": """SELECT vec_id, round(list_sum(v) / sqrt(list_inner_product(v, v)), 9) AS total, round(list_max(v) / sqrt(list_inner_product(v, v)), 9) AS largest
 FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)""",
     "vector_metadata": "SELECT chunk_id, embedding_input_hash, embedding_space_id, generation FROM vectors WHERE chunk_id IN (SELECT chunk_id FROM allowed)",
-    "vector_upsert": "SELECT 'space-a' AS embedding_space_id, count(*) AS n, count(DISTINCT chunk_id) AS n_chunks FROM vectors HAVING count(*) > 0",
+    "vector_upsert": """SELECT chunk_id, 'space-a' AS embedding_space_id, generation + CASE WHEN embedding_space_id = 'space-b' THEN 100 ELSE 0 END AS generation FROM vectors
+UNION ALL SELECT chunk_id, 'space-c', generation FROM chunks WHERE generation = 0""",
     "rrf_fusion": _SEARCH + " SELECT chunk_id, round(rrf_score, 9) AS rrf_score, channels, rrf_rank FROM fused",
     "rerank_merge": _SEARCH + " SELECT chunk_id, final_rank, round(final_score, 9) AS final_score FROM merged",
     "per_file_cap": "SELECT source_id, relative_path, id FROM (SELECT source_id, (size // 1000)::VARCHAR AS relative_path, id, row_number() OVER (PARTITION BY source_id, size // 1000 ORDER BY id) AS n FROM files) WHERE n <= 2",
@@ -156,6 +161,7 @@ UNION ALL SELECT 'fusion', chunk_id, rrf_rank FROM fused WHERE rrf_rank <= 10 UN
     "inactive_gc": """SELECT chunk_id, source_file_id, generation FROM chunks c WHERE NOT EXISTS (
   SELECT 1 FROM files f WHERE f.id = c.source_file_id AND (c.generation = f.active_generation OR c.generation = f.pending_generation))""",
     "tombstone_antijoin": "SELECT source_id, count(*) AS n FROM vectors WHERE embedding_input_hash <> 'changed' AND source_id <> 'src17' GROUP BY 1",
+    "void_tombstones": "SELECT source_id, count(*) AS n, sum(source_file_id)::BIGINT AS ids FROM vectors WHERE NOT (source_file_id % 3 = 0 AND source_file_id % 2 = 1) GROUP BY 1",
     "rechunk_plan": """SELECT coalesce(why_not, 'queued') AS outcome, count(*) AS n_sources, coalesce(sum(n), 0)::BIGINT AS n_files
 FROM reasons r LEFT JOIN (SELECT source_id, count(*) AS n FROM files WHERE active_generation > 0 GROUP BY 1) f ON f.source_id = r.id GROUP BY 1""",
     "catalog_upsert": "SELECT source_id, CASE WHEN id % 4 = 0 THEN 'indexed' ELSE status END AS status, count(*) AS n, sum(size)::BIGINT AS n_bytes FROM files GROUP BY ALL",
@@ -188,8 +194,9 @@ FROM active a LEFT JOIN vectors v USING (chunk_id) GROUP BY ALL""",
   SELECT source_id, dir AS path, 'directory' AS kind FROM full_ UNION ALL SELECT source_id, relative_path, 'file' FROM sc WHERE selected) n
 WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.source_id = n.source_id AND starts_with(n.path, f.dir || '/'))""",
     "root_overlap": _ROOTS + " SELECT a.id AS outer_id, b.id AS inner_id FROM roots a JOIN roots b ON a.id <> b.id AND (b.path = a.path OR starts_with(b.path, a.path || '/'))",
-    "source_registration": _ROOTS + """ SELECT n.id, CASE WHEN n.id = 'src5' THEN 'id exists' ELSE 'root overlaps another' END AS why FROM roots n
-WHERE n.id = 'src5' OR substr(n.id, 4)::INT % 2 = 0 AND EXISTS (SELECT 1 FROM roots o WHERE o.id <> n.id AND (o.path = n.path OR starts_with(o.path, n.path || '/') OR starts_with(n.path, o.path || '/')))""",
+    "source_registration": _ROOTS + """ SELECT n.id, CASE WHEN n.id = 'src5' THEN 'id exists' WHEN n.id = 'src8' THEN 'id repeats' ELSE 'root overlaps another' END AS why
+FROM (SELECT * FROM roots UNION ALL SELECT id, '/elsewhere' FROM roots WHERE id = 'src8') n
+WHERE n.id IN ('src5', 'src8') OR substr(n.id, 4)::INT % 2 = 0 AND EXISTS (SELECT 1 FROM roots o WHERE o.id <> n.id AND (o.path = n.path OR starts_with(o.path, n.path || '/') OR starts_with(n.path, o.path || '/')))""",
     "tree_page": _ROLL + """ SELECT source_id, path, kind FROM (SELECT source_id, dir AS path, 'directory' AS kind FROM roll UNION ALL SELECT source_id, relative_path, 'file' FROM sc)
 WHERE source_id > 'src1' OR source_id = 'src1' AND (string_split(path, '/') > ['en'] OR path = 'en' AND kind > 'directory')
 ORDER BY source_id, string_split(path, '/'), kind LIMIT 200""",
@@ -198,7 +205,11 @@ ORDER BY source_id, string_split(path, '/'), kind LIMIT 200""",
   WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.source_id = n.source_id AND starts_with(n.path, f.dir || '/')))
 SELECT DISTINCT source_id, CASE WHEN kind = 'file' THEN path ELSE path || '/' || tail END AS pattern FROM cover, (VALUES ('**/*.md'), ('*.md'), ('**/*.txt'), ('*.txt')) v(tail)""",
     "consent_renewal": "SELECT id FROM sources WHERE enabled AND consent_identity <> 'next' AND id NOT IN (SELECT source_id FROM jobs WHERE id % 7 = 0 AND status IN ('queued', 'running'))",
-    "source_removal": "SELECT chunk_id, source_id FROM vectors WHERE source_id IN ('src2', 'src4')",
+    "source_removal": """SELECT chunk_id, source_id, true AS scope_cleanup FROM vectors WHERE source_id IN ('src2', 'src4', 'src8')
+  AND source_id NOT IN (SELECT source_id FROM jobs WHERE id % 7 = 0 AND status IN ('queued', 'running'))""",
+    "removal_refusals": """SELECT * FROM (SELECT a.id, CASE WHEN s.id IS NULL THEN 'unknown' WHEN a.id IN (SELECT source_id FROM jobs WHERE id % 7 = 0 AND status IN ('queued', 'running')) THEN 'a job is open'
+    WHEN scope_cleanup_pending THEN 'a scope cleanup is pending' END AS why
+  FROM (VALUES ('src2'), ('src4'), ('src8'), ('src17'), ('nowhere')) a(id) LEFT JOIN sources s USING (id)) WHERE why IS NOT NULL""",
     "job_recovery": """SELECT source_id, CASE WHEN error IS NULL THEN status ELSE 'failed' END AS status, error, count(*) AS n FROM (
   SELECT j.source_id, j.status, CASE WHEN j.status IN ('queued', 'running') THEN CASE WHEN NOT s.enabled THEN 'source is disabled during indexer recovery'
     WHEN s.scope_cleanup_pending THEN 'source scope cleanup is pending during indexer recovery' END END AS error
@@ -209,4 +220,10 @@ ORDER BY source_id, source_file_id, ordinal LIMIT 256""",
 WHERE v.chunk_id IS NULL OR v.embedding_input_hash <> a.embedding_input_hash OR embedding_space_id <> 'space-a' ORDER BY 1 LIMIT 50""",
 }
 
-ORACLE = {name: PRELUDE + body for name, body in _BODY.items()}
+#: The chunks that segmented_bm25's last segment leaves.
+_EDITED = PRELUDE.replace(
+    "SELECT doc_id || ':' || g || ':0' AS chunk_id, doc_id AS source_file_id, g AS generation, 0 AS ordinal, text,",
+    "SELECT doc_id || ':' || CASE WHEN doc_id % 9 = 4 THEN 9 ELSE g END || ':0' AS chunk_id, doc_id AS source_file_id, g AS generation, 0 AS ordinal, CASE WHEN doc_id % 9 = 4 THEN 'release notes: ' ELSE '' END || text AS text,",
+).replace("[1 + doc_id % 2, 0] ELSE [1 + doc_id % 2] END) AS g FROM documents)", "[1 + doc_id % 2] ELSE [1 + doc_id % 2] END) AS g FROM documents WHERE doc_id % 9 = 4 OR doc_id % 11 <> 5)")
+
+ORACLE = {name: PRELUDE + body for name, body in _BODY.items()} | {"segmented_bm25": _EDITED + _BODY["bm25_four_field"]}

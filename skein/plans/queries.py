@@ -12,6 +12,7 @@ from ..functions.chunking import Limits, chunk_documents
 from ..functions.globs import matches_any, selected, visible
 from ..operators import access, catalog, fusion, lexical, reconcile, reports, snapshots, vectors
 from ..session import ship
+from ..sources.scratch import Scratch
 from .search import recall
 from .tables import CONSENT, IDENTITY, NOW, SPACE, Tables
 
@@ -86,6 +87,19 @@ def postings_df(t: Tables) -> DataFrame:
     return t.index().postings.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"), F.count(F.lit(1)).alias("tf"))
 
 
+@query
+def segmented_bm25(t: Tables) -> DataFrame:
+    """BM25 over a store's postings: three segments, of which the last replaces the chunks of edited files and removes others."""
+    store = snapshots.Store(t.spark, Scratch(t.spark, "segments").path("store"))
+    chunks = t.chunks().where("generation > 0")
+    id_ = F.col("source_file_id")
+    edited = chunks.where(id_ % 9 == 4).withColumns({"chunk_id": lx.chunk_id(id_, F.lit(9), F.lit(0)), "text": F.concat(F.lit("release notes: "), "text")})
+    gone = chunks.where((id_ % 9 == 4) | (id_ % 11 == 5)).select("chunk_id")
+    for some, old in ((chunks.where(id_ % 2 == 0), None), (chunks.where(id_ % 2 == 1), None), (edited, gone)):
+        lexical.extend(store, "all", some, old)
+    return lexical.bm25(lexical.stored(store), lx.phrases(TEXT)).select("chunk_id", _round("score"))
+
+
 @query
 def corpus_stats(t: Tables) -> DataFrame:
     return lexical.corpus_stats(t.index().lengths).select("n_chunks", _round("avg_terms"))
@@ -120,11 +134,9 @@ def fts_source_filter(t: Tables) -> DataFrame:
 
 @query
 def fts_batch_topk(t: Tables) -> DataFrame:
-    """The ten best active chunks of every benchmark item, by its terms."""
-    index = t.index()
-    asked = t.query_texts().select("query_id", F.explode(lx.terms(F.col("text"))).alias("term"))
+    """The ten best active chunks of every benchmark item, by its phrases."""
     live = access.active_chunks(t.chunks(), t.files(), t.sources()).select("chunk_id")
-    scored = lexical.bm25_batch(index.postings, index.lengths, asked).join(live, "chunk_id", "left_semi").withColumn("score", F.round("score", 9))
+    scored = lexical.bm25_batch(t.index(), t.query_texts()).join(live, "chunk_id", "left_semi").withColumn("score", F.round("score", 9))
     return lexical.top(scored, 10, per="query_id").select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -173,10 +185,11 @@ def vector_metadata(t: Tables) -> DataFrame:
 
 @query
 def vector_upsert(t: Tables) -> DataFrame:
-    """Vectors of the other space moved to the current one."""
-    v = t.vectors().drop("vector")
-    moved = v.where(F.col("embedding_space_id") != SPACE).withColumn("embedding_space_id", F.lit(SPACE))
-    return vectors.upsert(v, moved).groupBy("embedding_space_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chunk_id").alias("n_chunks"))
+    """Vectors after those of the other space, and some new ones, were written anew."""
+    v = t.vectors().select("chunk_id", "embedding_space_id", "generation")
+    moved = v.where(F.col("embedding_space_id") != SPACE).select("chunk_id", F.lit(SPACE).alias("embedding_space_id"), (F.col("generation") + 100).alias("generation"))
+    new = t.chunks().where("generation = 0").select("chunk_id", F.lit("space-c").alias("embedding_space_id"), "generation")
+    return vectors.upsert(v, moved.unionByName(new))
 
 
 # -- fusion and search ----------------------------------------------------
@@ -388,6 +401,14 @@ def tombstone_antijoin(t: Tables) -> DataFrame:
     return vectors.delete(v, reconcile.merge_tombstones(old, new)).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def void_tombstones(t: Tables) -> DataFrame:
+    """Vectors left after a drain: a tombstone whose chunk is indexed again is void."""
+    v = t.vectors().select("chunk_id", "source_id", "source_file_id")
+    dead = reconcile.binding(v.where("source_file_id % 3 = 0").select("chunk_id"), t.chunks().where("source_file_id % 2 = 0"))
+    return vectors.delete(v, dead).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("source_file_id").alias("ids"))
+
+
 @query
 def rechunk_plan(t: Tables) -> DataFrame:
     return reconcile.rechunk_plan(access.eligibility(t.sources(), CONSENT), t.files())
@@ -513,7 +534,8 @@ def source_registration(t: Tables) -> DataFrame:
     """Sources with an even number register after the others; why some are not taken."""
     s = _nested(t)
     even = F.substring("id", 4, 9).cast("int") % 2 == 0
-    return catalog.register(s.where(~even), s.where(even | (F.col("id") == "src5")))[1]
+    twice = s.where("id = 'src8'").withColumn("absolute_path", F.lit("/elsewhere"))
+    return catalog.register(s.where(~even), s.where(even | (F.col("id") == "src5")).unionByName(twice))[1]
 
 
 @query
@@ -538,8 +560,16 @@ def consent_renewal(t: Tables) -> DataFrame:
 
 @query
 def source_removal(t: Tables) -> DataFrame:
-    """Vectors queued for deletion when two sources go."""
-    return catalog.remove(t.sources(), t.files(), t.vectors(), ["src2", "src4"])[2].select("chunk_id", "source_id")
+    """Vectors queued for deletion when those of some sources go that may."""
+    ids = ["src2", "src4", "src8", "src17", "nowhere"]
+    refused = catalog.removal_refusals(t.sources(), t.jobs().where("id % 7 = 0"), ids)
+    gone = t.vectors().where(F.col("source_id").isin(ids)).join(refused.select(F.col("id").alias("source_id")), "source_id", "left_anti")
+    return catalog.tombstones(gone, F.lit(NOW).cast("timestamp")).select("chunk_id", "source_id", "scope_cleanup")
+
+
+@query
+def removal_refusals(t: Tables) -> DataFrame:
+    return catalog.removal_refusals(t.sources(), t.jobs().where("id % 7 = 0"), ["src2", "src4", "src8", "src17", "nowhere"])
 
 
 @query

@@ -6,17 +6,22 @@ at most ``candidates`` rows, before the reranker is called.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexing import phrases
 from ..operators import access, fusion, lexical, vectors
+from ..operators.snapshots import Store
 from ..sources.scratch import Scratch
 
 MAX_TOP_K = 20
+#: Candidates of each stage that diagnostics show.
+SHOWN = 10
 Embed = Callable[[list[str]], list[list[float]]]
 Rerank = Callable[[str, list[str]], list[tuple[int, float]]]
 
@@ -35,6 +40,20 @@ class Result:
     query: str
     rows: list[dict] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    #: Candidates of each stage, milliseconds of each step, and the settings; for those who ask.
+    diagnostics: dict = field(default_factory=lambda: {"stages": {}, "milliseconds": {}, "settings": {}})
+
+    @contextmanager
+    def timed(self, step: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.diagnostics["milliseconds"][step] = round(1000 * (time.perf_counter() - began), 1)
+
+    def show(self, stage: str, rows: list[dict], score: str) -> None:
+        """The first candidates of a stage, in its order."""
+        self.diagnostics["stages"][stage] = [{"rank": i + 1, "chunk_id": r["chunk_id"], "score": r[score]} for i, r in enumerate(rows[:SHOWN])]
 
 
 def recall(allowed: DataFrame, words: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,15 +63,32 @@ def recall(allowed: DataFrame, words: DataFrame, near: DataFrame) -> tuple[DataF
 
 
 class Searcher:
-    """Hybrid search over the tables that ``load`` returns by name; it is called again where a fresh state counts."""
+    """Hybrid search over the tables that ``load`` returns by name; it is called again where a fresh state counts.
+
+    ``index`` gives the lexical index of the chunks.  Without it one is built from
+    the chunks and kept until they change; :meth:`over` a store reads the one that
+    the store's commits keep.
+    """
 
-    def __init__(self, load: Callable[[str], DataFrame], consent: str, space: str, embed: Embed, rerank: Rerank, settings: Settings = Settings(), tables: tuple[str, ...] = ("text",)):
+    def __init__(self, load: Callable[[str], DataFrame], consent: str, space: str, embed: Embed, rerank: Rerank, settings: Settings = Settings(), tables: tuple[str, ...] = ("text",), index: Callable[[], lexical.Index] | None = None):
         self.load, self.consent, self.space, self.embed, self.rerank, self.settings, self.tables = load, consent, space, embed, rerank, settings, tables
-        self._indexed: tuple[tuple, lexical.Index] | None = None
+        self.index = index or self._built
+        self._indexed: tuple[tuple, Scratch, lexical.Index] | None = None
+
+    @classmethod
+    def over(cls, store: Store, consent: str, space: str, embed: Embed, rerank: Rerank, settings: Settings = Settings()) -> Searcher:
+        """Search what plans.ingest has committed to a store."""
+        from .ingest import with_roots
+
+        load = lambda name: with_roots(store.read(name)) if name == "sources" else store.read(name)
+        return cls(load, consent, space, embed, rerank, settings, index=lambda: lexical.stored(store))
 
     def _policy(self) -> list[tuple]:
+        """What a search's permission rests on, for each source: flags, consent, scope and the identity of its root."""
         s = access.eligibility(self.load("sources"), self.consent)
-        return sorted(tuple(r) for r in s.select("id", "enabled", "consent_identity", "scope_cleanup_pending", F.coalesce("why_not", F.lit(""))).collect())
+        scope = [F.coalesce(F.array_join(c, "\n"), F.lit("-")).alias(c) for c in ("include_patterns", "exclude_patterns")]
+        root = F.coalesce("root_identity", F.lit("-")) if "root_identity" in s.columns else F.lit("-")
+        return sorted(tuple(r) for r in s.select("id", "enabled", F.coalesce("consent_identity", F.lit("-")), "scope_cleanup_pending", F.coalesce("why_not", F.lit("")), *scope, root.alias("root")).collect())
 
     def search(self, query: str, top_k: int = 5, table_ids: list[str] | None = None, source_ids: list[str] | None = None) -> Result:
         out = Result("invalid_request", query)
@@ -67,7 +103,10 @@ class Searcher:
         return out
 
     def _run(self, query: str, top_k: int, source_ids: list[str] | None) -> Result:
-        policy = self._policy()
+        try:
+            policy = self._policy()
+        except Exception as e:
+            return Result("unavailable", query, warnings=[f"catalog unavailable: {type(e).__name__}"])
         why = {p[0]: p[4] for p in policy}
         asked = list(dict.fromkeys(source_ids or ()))
         if strange := sorted(set(asked) - set(why)):
@@ -88,42 +127,66 @@ class Searcher:
             return out
         sources = self.load("sources").where(F.col("id").isin(use))
         allowed = access.authorized(access.active_chunks(self.load("chunks"), self.load("source_files"), sources), sources)
+        out.diagnostics["settings"] = asdict(self.settings) | {"top_k": top_k, "sources": use, "space": self.space}
         fused = self._fused(query, sources, allowed, use, out)
         hydrated = fused.where(F.col("rrf_rank") <= self.settings.candidates).join(allowed, "chunk_id")
-        rows = [r.asDict() for r in hydrated.orderBy("rrf_rank").limit(self.settings.candidates).collect()]
+        with out.timed("recall and fusion"):
+            rows = [r.asDict() for r in hydrated.orderBy("rrf_rank").limit(self.settings.candidates).collect()]
+        for channel in ("fts", "vector"):
+            out.diagnostics["stages"].setdefault(channel, [])
+        out.show("fusion", rows, "rrf_score")
         if not rows:
             return out
-        try:
-            now = self._policy()
-        except Exception as e:
-            out.warnings.append(f"authorization policy recheck unavailable: {type(e).__name__}")
-            return out
+        with out.timed("policy"):
+            try:
+                now = self._policy()
+            except Exception as e:
+                out.warnings.append(f"authorization policy recheck unavailable: {type(e).__name__}")
+                return out
         if now != policy:
             out.warnings.append("authorization policy changed during search")
             return out
-        out.rows = self._select(self._reranked(query, rows, out), top_k)
+        with out.timed("rerank"):
+            ordered = self._reranked(query, rows, out)
+        out.show("rerank", ordered, "score")
+        out.rows = self._select(ordered, top_k)
+        out.show("final", out.rows, "score")
         out.status = "ok" if out.rows else "no_results"
         return out
 
-    def _index(self, chunks: DataFrame) -> lexical.Index:
-        """The stored index of the chunks, written again when their table has changed."""
+    def _built(self) -> lexical.Index:
+        """An index of the chunks, written again when their table has changed; the one before is deleted."""
+        chunks = self.load("chunks")
         key = chunks.semanticHash(), tuple(sorted(chunks.inputFiles()))
         if self._indexed is None or self._indexed[0] != key:
-            self._indexed = key, lexical.build(chunks, Scratch(chunks.sparkSession, "index"))
-        return self._indexed[1]
+            if self._indexed is not None:
+                self._indexed[1].clear()
+            scratch = Scratch(chunks.sparkSession, "index")
+            self._indexed = key, scratch, lexical.build(chunks, scratch)
+        return self._indexed[2]
 
     def _fused(self, query: str, sources: DataFrame, allowed: DataFrame, use: list[str], out: Result) -> DataFrame:
-        index = self._index(self.load("chunks"))
+        index = self.index()
         live = access.active_chunks(self.load("chunks"), self.load("source_files"), sources).select("chunk_id")
         words = lexical.top(lexical.bm25(index, phrases(query)).join(live, "chunk_id", "left_semi"), self.settings.keyword_recall)
+        with out.timed("keyword"):
+            found = words.collect()  # at most keyword_recall rows
+        words = words.sparkSession.createDataFrame(found, words.schema)
         near = words.where(F.lit(False))
         try:
-            at = self.embed([query])[0]
+            with out.timed("embedding"):
+                at = self.embed([query])[0]
         except Exception as e:
             out.warnings.append(f"vector recall unavailable: {type(e).__name__}")
         else:
-            near = self._near(at, use, out) or near
-        return fusion.rrf(list(recall(allowed, words, near)))
+            with out.timed("vector"):
+                near = self._near(at, use, out) or near
+        channels = recall(allowed, words, near)
+        # at most keyword_recall and vector_recall rows
+        both = channels[0].unionByName(channels[1]).orderBy("channel", "rank").collect()
+        for name in ("fts", "vector"):
+            out.show(name, [r.asDict() for r in both if r["channel"] == name], "score")
+        return fusion.rrf([words.sparkSession.createDataFrame(both, channels[0].schema)])
 
     def _near(self, at: list[float], use: list[str], out: Result) -> DataFrame | None:
         """Vector recall; a failing read is tried once more on a fresh table."""

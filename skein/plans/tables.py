@@ -55,6 +55,8 @@ class Tables:
             F.when(F.col("id") == "src13", "old").otherwise(CONSENT).alias("consent_identity"),
             (F.col("id") == "src17").alias("scope_cleanup_pending"),
             (F.col("id") != "src18").alias("root_safe"),
+            F.when(number % 4 == 1, F.array(F.lit("**/*.md"))).when(number % 4 == 3, F.array(F.lit("**/*.md"), F.lit("**/*.txt"), F.lit("**/*.pdf"))).alias("include_patterns"),
+            F.when(number % 4 == 2, F.array(F.lit("**/notes/**"))).when(number % 4 == 3, F.array(F.lit("de/*"), F.lit("**/doc_?1.*"))).alias("exclude_patterns"),
             F.when(number % 5 == 4, None).otherwise(F.timestamp_seconds(F.lit(1706745600) - number * 120)).alias("last_scan_at"),
             F.when(number % 4 == 1, F.concat(F.lit("HTTP 40"), (number % 6).cast("string"))).otherwise("").alias("last_error"),
         )
@@ -127,7 +129,8 @@ class Tables:
         )
 
     def query_texts(self) -> DataFrame:
-        return self.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+        """Benchmark items, each with the name of a file, a phrase of three terms."""
+        return self.raw("benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" doc-"), F.col("item_id").cast("string"), F.lit(".txt")).alias("text"))
 
 
 #: The same tables for a SQL statement that begins with WITH.
@@ -176,7 +179,10 @@ WITH sources AS (
 ), scope AS (
   SELECT *, NOT (relative_path LIKE '%/.drafts/%' OR relative_path LIKE '%/node_modules/%') AND NOT relative_path LIKE '%.pdf' AS selected FROM files
 ), allowed AS (
-  SELECT a.* FROM active a JOIN eligible e ON e.id = a.source_id JOIN scope s ON s.id = a.source_file_id WHERE s.selected
+  SELECT a.* FROM active a JOIN eligible e ON e.id = a.source_id
+  WHERE NOT (relative_path LIKE '%/.drafts/%' OR relative_path LIKE '%/node_modules/%') AND CASE substr(source_id, 4)::INT % 4
+    WHEN 1 THEN relative_path LIKE '%.md' WHEN 2 THEN NOT relative_path LIKE '%/notes/%' AND NOT relative_path LIKE '%.pdf'
+    WHEN 3 THEN NOT regexp_matches(relative_path, '^de/[^/]*$') AND NOT regexp_matches(relative_path, '/doc_[^/]1\\.[^/]*$') ELSE NOT relative_path LIKE '%.pdf' END
 ), toks AS (
   SELECT chunk_id, field, list_filter(list_transform(regexp_extract_all(replace(lower(t), 'ß', 'ss'), '[\\p{L}\\p{N}_.+#/-]+'), lambda x: trim(x, '_-/')), lambda x: x <> '') AS l
   FROM (SELECT chunk_id, unnest(['text', 'title', 'heading_path', 'filename']) AS field, unnest([text, title, heading_path, filename]) AS t FROM chunks)

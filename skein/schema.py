@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA_VERSION = 8
-
-
+SCHEMA_VERSION = 9
 
 _DDL = {
     "knowledge_tables": "table_id string, content_type string, vector_table string, schema_version int, enabled boolean, created_at timestamp, updated_at timestamp",
@@ -19,6 +17,8 @@ _DDL = {
     "vectors": "chunk_id string, source_id string, source_file_id long, embedding_input_hash string, embedding_space_id string, generation long, vector array<float>",
     "sync_jobs": "id long, source_id string, requested_at timestamp, started_at timestamp, finished_at timestamp, status string, reason string, error string",
     "sync_runs": "id long, source_id string, started_at timestamp, finished_at timestamp, status string, scanned_files long, indexed_files long, reused_vectors long, embedded_vectors long, missing_files long, error string",
+    "postings": "term string, chunk_id string, field string, pos int, n_terms long",
+    "chunk_lengths": "chunk_id string, n_terms long",
     "vector_deletions": "chunk_id string, source_id string, scope_cleanup boolean, queued_at timestamp",
 }
 

@@ -1,7 +1,6 @@
 """Embedding and rerank providers: a protocol, offline defaults, and HTTP clients.
 
-Providers are called from tasks for chunks (:func:`embed_chunks`) and from the
-driver for a query.  A repeated call is harmless: vectors are keyed by the hash
+Providers are called from tasks for chunks (plans.ingest) and from the driver for a query.  A repeated call is harmless: vectors are keyed by the hash
 of their input.
 """
 
@@ -12,10 +11,7 @@ import json
 import math
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Callable
 
 BATCH = 32
 TIMEOUT = 60
@@ -108,16 +104,3 @@ def http_reranker(url: str, model: str, key: str) -> Callable[[str, list[str]],
         return [(r["index"], float(r["relevance_score"])) for r in told["results"]]
 
     return rerank
-
-
-def embed_chunks(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """(embedding_input_hash, vector) of rows (embedding_input_hash, embedding_text), each input once."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a in range(0, len(frame), BATCH):
-                part = frame.iloc[a : a + BATCH]
-                yield pd.DataFrame({"embedding_input_hash": part["embedding_input_hash"], "vector": embedder(part["embedding_text"].tolist())})
-
-    once = chunks.select("embedding_input_hash", "embedding_text").dropDuplicates(["embedding_input_hash"])
-    return once.mapInPandas(run, "embedding_input_hash string, vector array<float>")

@@ -83,6 +83,10 @@ class Scratch:
         for folder in {f[: f.index(top) + len(top)] + "/" + f[f.index(top) + len(top) + 1 :].split("/", 1)[0] for f in df.inputFiles() if f"/{top}/" in f}:
             _delete(self.spark, folder)
 
+    def clear(self) -> None:
+        """Delete all tables of this run."""
+        _delete(self.spark, self.root)
+
     def tidy(self) -> None:
         """Let Spark's cleaner drop the shuffle files of plans that are out of use, which it does when the driver's JVM collects garbage."""
         gc.collect()

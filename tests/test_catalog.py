@@ -1,6 +1,7 @@
 """Catalog operators on small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import catalog
 from skein.operators.snapshots import Conflict
@@ -12,10 +13,10 @@ def sources(spark, rows):
 
 def test_registration_refuses_overlaps_and_known_ids(spark):
     old = sources(spark, [("a", "/x/a", True), ("b", "/x/b", True)])
-    new = sources(spark, [("c", "/x/a/sub", True), ("d", "/x/ab", True), ("b", "/y", True), ("e", "/x/d", True), ("f", "/x/d", True)])
+    new = sources(spark, [("c", "/x/a/sub", True), ("d", "/x/ab", True), ("b", "/y", True), ("e", "/x/d", True), ("f", "/x/d", True), ("g", "/g1", True), ("g", "/g2", True), ("h", "/h", True), ("h", "/h", True)])
     taken, why = catalog.register(old, new)
     assert {r.id for r in taken.collect()} == {"a", "b", "d"}
-    assert {r.id: r.why for r in why.collect()} == {"c": "root overlaps another", "b": "id exists", "e": "root overlaps another", "f": "root overlaps another"}
+    assert {r.id: r.why for r in why.collect()} == {"c": "root overlaps another", "b": "id exists", "e": "root overlaps another", "f": "root overlaps another", "g": "id repeats", "h": "id repeats"} and why.count() == 8
 
 
 def test_lifecycle(spark):
@@ -24,11 +25,9 @@ def test_lifecycle(spark):
     renewed, due = catalog.renew_consent(s, jobs, "new")
     assert {r.id: r.consent_identity for r in renewed.collect()} == {"a": "new", "b": "old", "c": "new", "d": "new"} and [r.id for r in due.collect()] == ["a"]
     assert {r.id for r in catalog.change(s, ["b"], enabled=True).where("enabled").collect()} == {"a", "b", "c", "d"}
-    files = spark.createDataFrame([(1, "a"), (2, "b")], "id long, source_id string")
-    left, kept, tombstones = catalog.remove(s, files, spark.createDataFrame([("x", "a"), ("y", "b")], "chunk_id string, source_id string"), ["a"])
-    assert left.count() == 3 and [r.id for r in kept.collect()] == [2] and [r.chunk_id for r in tombstones.collect()] == ["x"]
-    tables = spark.createDataFrame([("t", "p"), ("u", None)], "table_id string, profile_id string")
-    assert {(r.table_id, r.name) for r in catalog.with_profiles(tables, spark.createDataFrame([("p", "n")], "profile_id string, name string")).collect()} == {("t", "n"), ("u", None)}
+    held = s.withColumn("scope_cleanup_pending", F.col("id") == "b")
+    why = catalog.removal_refusals(held, jobs, ["a", "b", "d", "x", "a"])
+    assert {r.id: r.why for r in why.collect()} == {"b": "a scope cleanup is pending", "d": "a job is open", "x": "unknown"}
 
 
 def test_rebuild_is_activated_only_where_nothing_moved(spark):
