@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,6 +60,8 @@ CELL_BITS = 18
 ROUNDS = 3
 #: Rows (16 bytes and a long each) whose texts are looked up by a broadcast instead of a shuffle of all texts.
 BROADCAST_ROWS = 500_000
+#: Members of a frequent shingle's list that a task looks at together, about.
+SLICE = 512
 #: 64-bit words of an odd sketch.
 SKETCH = 16
 _ROWS = 64
@@ -232,9 +234,11 @@ def place_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) ->
         scratch.drop(was)
     # last pass: group pairs across components
     open_ = open_.join(groups.select("gid", "sketch"), "gid")
-    left, right = (open_.select("tok", *[F.col(c).alias(c + s) for c in ("gid", "n", "p", "r0", "r1", "sketch")]) for s in ("x", "y"))
+    # a slice of a list on one side meets the whole list on the other, slice by slice in tasks of their own
+    slices = F.sequence(F.lit(0), F.ceil(F.col("l") / SLICE).cast("int") - 1)
+    left, right = (open_.select("tok", slot.alias("slot"), *[F.col(c).alias(c + s) for c in ("gid", "n", "p", "r0", "r1", "sketch")]) for s, slot in (("x", _slice()), ("y", F.explode(slices))))
     apart = F.expr("gidx < gidy AND NOT (r0x = r1x AND r0y = r1y AND r0x = r0y) AND " + _may_link("nx", "px", "ny", "py", percent) + " AND " + _close("sketchx", "nx", "sketchy", "ny", percent))
-    crossing = left.join(right, (left["tok"] == right["tok"]) & apart).drop("tok")
+    crossing = left.join(right, (left["tok"] == right["tok"]) & (left["slot"] == right["slot"]) & apart).drop("tok", "slot")
     # shingles of a pair that pass come first among those it shares: up to the last of them the overlap is known
     crossing = crossing.groupBy("gidx", "gidy").agg(F.count(F.lit(1)).alias("c"), F.max("px").alias("px"), F.max("py").alias("py"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
     crossing = crossing.where(f"{100 + percent} * (c + least(nx - 1 - px, ny - 1 - py)) >= {percent} * (nx + ny)").select("gidx", "gidy")
@@ -252,30 +256,44 @@ def place_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) ->
 
 
 def _postings(groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(tok, gid, n, p, weight) of the shingles that prefixes of two groups or more hold; weight: how long the lists of a group's prefix are."""
+    """(tok, gid, n, p, weight, l) of the shingles that prefixes of two groups or more hold; l: the list's length, weight: how long the lists of a group's prefix are."""
     postings = groups.select("gid", "n", F.posexplode("prefix").alias("p", "tok"))
-    listed = postings.withColumn("l", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("l > 1")
-    listed = scratch.save(listed, "lists")
+    counts = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("l")).where("l > 1")
+    listed = scratch.save(postings.join(counts, "tok"), "lists")
     weight = listed.groupBy("gid").agg((F.sum("l") / F.expr(f"first(n) - ceil({percent} * first(n) / 100) + 1")).alias("weight"))
-    shared = scratch.save(listed.join(weight, "gid").drop("l"), "postings")
+    shared = scratch.save(listed.join(weight, "gid"), "postings")
     scratch.drop(listed)
     return shared
 
 
+def _slice(turn: int = 0) -> Column:
+    """The slice of its list that a member stands in: about ``SLICE`` members each, so that no task holds a frequent shingle's list."""
+    return F.pmod(F.xxhash64("gid", F.lit(turn)), F.ceil(F.col("l") / SLICE)).cast("int")
+
+
+def _best(lists: DataFrame, **largest: Column) -> DataFrame:
+    """(tok, ...): the largest of some columns over each list, by partial maxima."""
+    return lists.groupBy("tok").agg(*[F.max(c).alias(name) for name, c in largest.items()])
+
+
 def _meetings(lists: DataFrame, turn: int | None, percent: int) -> DataFrame:
-    """Pairs (hub, gid) of groups to try: a few for each posting.  Without a turn no component is known yet."""
-    over = Window.partitionBy("tok")
+    """Pairs (hub, gid) of groups to try: a few for each posting.  Without a turn no component is known yet.
+
+    What a whole list must agree on comes from partial maxima; neighbours are those of a slice of it.
+    """
     if turn is None:
         lists, order, second = lists.withColumns({"r0": F.col("gid"), "r1": F.col("gid")}), ("n", "gid"), None
     else:
         order, second = (F.xxhash64("gid", "tok", F.lit(turn)), "gid"), F.col("weight") if turn == 0 else F.xxhash64("gid", F.lit(turn))
     who = [F.col(c).alias(c) for c in ("gid", "n", "p", "r0", "r1")]
-    met = lists.withColumns({"near": F.lag(F.struct(*who)).over(over.orderBy(*order)), "hub": F.max(F.struct(F.col("weight").alias("w"), *who)).over(over)})
-    met = met.withColumns({"hub": F.col("hub").dropFields("w")})
+    hubs = _best(lists, hub=F.struct(F.col("weight").alias("w"), *who)).withColumn("hub", F.col("hub").dropFields("w"))
+    near = F.lag(F.struct(*who)).over(Window.partitionBy("tok", "_slice").orderBy(*order))
+    met = lists.withColumn("_slice", _slice(turn or 0)).withColumn("near", near).drop("_slice").join(hubs, "tok")
     others = [F.col("hub"), F.col("near")]
     if second is not None:
         outside = F.expr("NOT (r0 = r1 AND hub.r0 = hub.r1 AND r0 = hub.r0)")
-        met = met.withColumn("second", F.max(F.when(outside, F.struct(second.alias("w"), *who))).over(over)).withColumn("second", F.col("second").dropFields("w"))
+        far = _best(lists.join(hubs, "tok").where(outside), second=F.struct(second.alias("w"), *who))
+        met = met.join(far.withColumn("second", F.col("second").dropFields("w")), "tok", "left")
         others.append(F.col("second"))
     met = met.select("gid", "n", "p", "r0", "r1", F.explode(F.array(*others)).alias("o")).where("o IS NOT NULL AND o.gid <> gid AND NOT (r0 = r1 AND o.r0 = o.r1 AND r0 = o.r0)")
     return met.where(_may_link("o.n", "o.p", "n", "p", percent)).select(F.col("o.gid").alias("hub"), "gid")
@@ -301,10 +319,10 @@ def _spans(placed: DataFrame) -> DataFrame:
 
 
 def _open(shared: DataFrame, placed: DataFrame) -> DataFrame:
-    """Postings (tok, gid, n, p, weight, r0, r1) of the shingles that more than one component holds."""
-    over = Window.partitionBy("tok")
+    """Postings (tok, gid, n, p, weight, l, r0, r1) of the shingles that more than one component holds."""
     marked = shared.join(_spans(placed), "gid")
-    return marked.withColumns({"t0": F.min("r0").over(over), "t1": F.max("r1").over(over)}).where("t0 < t1").drop("t0", "t1")
+    ends = marked.groupBy("tok").agg(F.min("r0").alias("t0"), F.max("r1").alias("t1")).where("t0 < t1").select("tok")
+    return marked.join(ends, "tok")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
