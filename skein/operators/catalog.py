@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .snapshots import Conflict, merge_rows
+from .snapshots import merge_rows
 
 #: The errors of jobs whose source may not run, by its state.
 RECOVERY = {"disabled": "source is disabled during indexer recovery", "cleanup": "source scope cleanup is pending during indexer recovery"}
@@ -125,19 +125,6 @@ def failing_sample(states: DataFrame, size: int = SAMPLE) -> DataFrame:
     return states.where("state <> 'found'").orderBy("chunk_id").limit(size)
 
 
-def rebuild(active: DataFrame, embed: Callable[[DataFrame], DataFrame], revision: Callable[[], object], save: Callable[[DataFrame], DataFrame], activate: Callable[[DataFrame], None]) -> DataFrame:
-    """All active chunks embedded anew into a table of their own, which becomes the current one only if the catalog has not moved on."""
-    began = revision()
-    made = save(embed(active))
-    missing = active.join(made.select("chunk_id"), "chunk_id", "left_anti")
-    if not missing.isEmpty():
-        raise ValueError("the rebuilt table lacks chunks")
-    if revision() != began:
-        raise Conflict("the catalog has changed during the rebuild")
-    activate(made)
-    return made
-
-
 class Health:
     """An integrity verdict that is computed again after ``HEALTH_SECONDS`` or when the revision changes."""
 

@@ -30,7 +30,7 @@ from ..schema import conform, schema
 #: The column that tells the rows of each table apart.
 KEYS = {
     "knowledge_tables": "table_id", "retrieval_profiles": "profile_id", "sources": "id", "source_files": "id", "sync_jobs": "id", "sync_runs": "id",
-    "chunks": "chunk_id", "vectors": "chunk_id", "postings": "chunk_id", "chunk_lengths": "chunk_id", "vector_deletions": "chunk_id",
+    "chunks": "chunk_id", "vectors": "chunk_id", "rebuilt_vectors": "chunk_id", "postings": "chunk_id", "chunk_lengths": "chunk_id", "vector_deletions": "chunk_id",
 }
 #: Tables whose segments are sorted, so that files and row groups that a search does not need are not read.
 SORTED = {"postings": ("term", "chunk_id")}
@@ -100,7 +100,7 @@ class Store:
         """What a version is made of: segments and delete files by table and part, when each part was written last, counters and sums."""
         now = self.version() if version is None else version
         if not now:
-            return {"tables": {}, "revisions": {}, "counters": {}, "sums": {}}
+            return {"tables": {}, "revisions": {}, "counters": {}, "sums": {}, "notes": {}}
         with_lines = self.spark.read.option("wholetext", "true").text(f"{self.root}/versions/{now}")
         return json.loads(with_lines.first()[0])
 
@@ -108,13 +108,13 @@ class Store:
         """The version that wrote a part of a table last."""
         return max((v for p, v in self.state()["revisions"].get(name, {}).items() if _meet(p, part)), default=0)
 
-    def _advance(self, base: int, touched: Iterable[tuple[str, str]], change) -> int:
-        """Write the next pointer, made from the current one by ``change``, unless another commit since ``base`` wrote what this one touches."""
-        touched = list(touched)
+    def _advance(self, base: int, touched: Iterable[tuple[str, str]], change, reads: Iterable[tuple[str, str]] = ()) -> int:
+        """Write the next pointer, made from the current one by ``change``, unless another commit since ``base`` wrote what this one touches or rests on."""
+        touched, reads = list(touched), list(reads)
         while True:
             now = self.version()
             state = self.state(now)
-            for name, part in touched:
+            for name, part in [*touched, *reads]:
                 if any(_meet(p, part) and v > base for p, v in state["revisions"].get(name, {}).items()):
                     raise Conflict(f"{name}, {part}: written since version {base}")
             change(state)
@@ -171,8 +171,8 @@ class Store:
             rows = rows.repartitionByRange(*SORTED[name]).sortWithinPartitions(*SORTED[name])
         return self._write(name, rows.withColumn("_seq", F.lit(seq).cast("long")), "rows")
 
-    def commit(self, changed: dict[str, DataFrame | Change | list[Change]], base: int, sums: dict[str, dict[str, float]] | None = None) -> int:
-        """Write changes (a DataFrame is a whole table), then the pointer; ``sums`` are added to the version's own."""
+    def commit(self, changed: dict[str, DataFrame | Change | list[Change]], base: int, sums: dict[str, dict[str, float]] | None = None, notes: dict | None = None) -> int:
+        """Write changes (a DataFrame is a whole table), then the pointer; ``sums`` are added to the version's own, ``notes`` are set in it."""
         made: list[tuple[str, Change, list | None, list | None]] = []
         for name, some in changed.items():
             for c in some if isinstance(some, list) else [some if isinstance(some, Change) else Change(WHOLE, some, whole=True)]:
@@ -196,9 +196,20 @@ class Store:
                 own = state["sums"].setdefault(group, {})
                 for k, v in values.items():
                     own[k] = own.get(k, 0) + v
+            state["notes"].update(notes or {})
 
         return self._advance(base, {(name, c.part): None for name, c, _, _ in made}, change)
 
+    def take_place(self, name: str, by: str, base: int, reads: Iterable[str] = (), notes: dict | None = None) -> int:
+        """Table ``name`` becomes what table ``by`` holds, by the pointer alone, as long as neither they nor the tables it rests on were written since ``base``."""
+
+        def change(state: dict) -> None:
+            held = state["tables"].pop(by, {}).values()
+            state["tables"][name] = {WHOLE: {k: [x for p in held for x in p[k]] for k in ("rows", "deletes")}}
+            state["notes"].update(notes or {})
+
+        return self._advance(base, [(name, WHOLE), (by, WHOLE)], change, [(r, WHOLE) for r in reads])
+
     def reserve(self, name: str, n: int) -> int:
         """The first of ``n`` ids of a table that nobody gets again, whatever becomes of them."""
         first = self.read(name).agg(F.coalesce(F.max(KEYS[name]), F.lit(0))).first()[0] + 1 if name not in self.state()["counters"] else 0

@@ -216,6 +216,9 @@ SELECT DISTINCT source_id, CASE WHEN kind = 'file' THEN path ELSE path || '/' ||
   FROM jobs j LEFT JOIN sources s ON s.id = j.source_id) GROUP BY ALL""",
     "rebuild_page": """SELECT chunk_id, source_id FROM active WHERE source_id > 'src2' OR source_id = 'src2' AND (source_file_id > 100 OR source_file_id = 100 AND ordinal > 0)
 ORDER BY source_id, source_file_id, ordinal LIMIT 256""",
+    "vector_rebuild": """SELECT chunk_id, source_id, 'space-n' AS embedding_space_id, embedding_input_hash, length('Title: ' || title || chr(10) || CASE WHEN heading_path <> '' THEN 'Heading path: ' || heading_path || chr(10) ELSE '' END
+  || 'Filename: ' || filename || CASE WHEN text <> '' THEN chr(10) || 'Text:' || chr(10) || text ELSE '' END)::BIGINT AS n_chars
+FROM active WHERE source_id IN (SELECT id FROM eligible)""",
     "integrity_sample": """SELECT a.chunk_id, CASE WHEN v.chunk_id IS NULL THEN 'missing' ELSE 'invalid' END AS state FROM active a LEFT JOIN vectors v USING (chunk_id)
 WHERE v.chunk_id IS NULL OR v.embedding_input_hash <> a.embedding_input_hash OR embedding_space_id <> 'space-a' ORDER BY 1 LIMIT 50""",
 }

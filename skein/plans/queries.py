@@ -13,6 +13,8 @@ from ..functions.globs import matches_any, selected, visible
 from ..operators import access, catalog, fusion, lexical, reconcile, reports, snapshots, vectors
 from ..session import ship
 from ..sources.scratch import Scratch
+from .ingest import Space
+from .rebuild import rebuild
 from .search import recall
 from .tables import CONSENT, IDENTITY, NOW, SPACE, Tables
 
@@ -584,6 +586,17 @@ def rebuild_page(t: Tables) -> DataFrame:
     return catalog.rebuild_page(live, ("src2", 100, 0)).select("chunk_id", "source_id")
 
 
+@query
+def vector_rebuild(t: Tables) -> DataFrame:
+    """The vectors of a store after a rebuild by pages; here an input's vector is its length."""
+    store = snapshots.Store(t.spark, Scratch(t.spark, "rebuild").path("store"))
+    root = "/"  # a root that is there on every machine, but for the source whose own is not safe
+    sources = t.sources().withColumn("absolute_path", F.when(F.col("root_safe"), F.lit(root)).otherwise(F.lit("/nowhere")))
+    store.commit({"sources": sources, "source_files": t.files(), "chunks": t.chunks(), "vectors": t.vectors()}, 0)
+    rebuild(store, Space(lambda texts: [[float(len(x))] for x in texts], IDENTITY, "space-n"), CONSENT, 4000)
+    return store.read("vectors").select("chunk_id", "source_id", "embedding_space_id", "embedding_input_hash", F.get("vector", F.lit(0)).cast("long").alias("n_chars"))
+
+
 @query
 def integrity_sample(t: Tables) -> DataFrame:
     live = access.active_chunks(t.chunks(), t.files(), t.sources())

@@ -21,6 +21,8 @@ _DDL = {
     "chunk_lengths": "chunk_id string, n_terms long",
     "vector_deletions": "chunk_id string, source_id string, scope_cleanup boolean, queued_at timestamp",
 }
+#: Vectors that a rebuild has made so far.
+_DDL["rebuilt_vectors"] = _DDL["vectors"]
 
 
 def schema(name: str) -> T.StructType:

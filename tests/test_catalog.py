@@ -1,10 +1,8 @@
 """Catalog operators on small tables."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import catalog
-from skein.operators.snapshots import Conflict
 
 
 def sources(spark, rows):
@@ -30,18 +28,6 @@ def test_lifecycle(spark):
     assert {r.id: r.why for r in why.collect()} == {"b": "a scope cleanup is pending", "d": "a job is open", "x": "unknown"}
 
 
-def test_rebuild_is_activated_only_where_nothing_moved(spark):
-    active = spark.createDataFrame([("x",), ("y",)], "chunk_id string")
-    done, state = [], iter([1, 1, 1, 2])
-    catalog.rebuild(active, lambda d: d, lambda: next(state), lambda d: d, done.append)
-    assert len(done) == 1
-    with pytest.raises(Conflict):
-        catalog.rebuild(active, lambda d: d, lambda: next(state), lambda d: d, done.append)
-    with pytest.raises(ValueError, match="lacks"):
-        catalog.rebuild(active, lambda d: d.where("chunk_id = 'x'"), lambda: 1, lambda d: d, done.append)
-    assert len(done) == 1
-
-
 def test_health_is_held(spark):
     calls, now, revision = [], [0.0], [1]
 
