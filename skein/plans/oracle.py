@@ -229,4 +229,4 @@ _EDITED = PRELUDE.replace(
     "SELECT doc_id || ':' || CASE WHEN doc_id % 9 = 4 THEN 9 ELSE g END || ':0' AS chunk_id, doc_id AS source_file_id, g AS generation, 0 AS ordinal, CASE WHEN doc_id % 9 = 4 THEN 'release notes: ' ELSE '' END || text AS text,",
 ).replace("[1 + doc_id % 2, 0] ELSE [1 + doc_id % 2] END) AS g FROM documents)", "[1 + doc_id % 2] ELSE [1 + doc_id % 2] END) AS g FROM documents WHERE doc_id % 9 = 4 OR doc_id % 11 <> 5)")
 
-ORACLE = {name: PRELUDE + body for name, body in _BODY.items()} | {"segmented_bm25": _EDITED + _BODY["bm25_four_field"]}
+ORACLE = {name: PRELUDE + body for name, body in _BODY.items()} | {"segmented_bm25": _EDITED + _BODY["bm25_four_field"], "fts_blockmax": PRELUDE + _BODY["fts_topk"]}

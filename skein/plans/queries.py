@@ -129,6 +129,13 @@ def fts_topk(t: Tables) -> DataFrame:
     return lexical.top(_lexical_hits(t), 20).select("chunk_id", _round("score"))
 
 
+@query
+def fts_blockmax(t: Tables) -> DataFrame:
+    """The same twenty, from the blocks of postings whose bounds reach them."""
+    live = access.active_chunks(t.chunks(), t.files(), t.sources()).select("chunk_id")
+    return lexical.bm25_top(t.index(), lx.phrases(TEXT), 20, live).select("chunk_id", _round("score"))
+
+
 @query
 def fts_source_filter(t: Tables) -> DataFrame:
     return lexical.top(_lexical_hits(t).where(F.col("source_id").isin("src1", "src2", "src3")), 20).select("chunk_id", _round("score"))
