@@ -61,7 +61,7 @@ ROUNDS = 3
 #: Rows (16 bytes and a long each) whose texts are looked up by a broadcast instead of a shuffle of all texts.
 BROADCAST_ROWS = 500_000
 #: Members of a frequent shingle's list that a task looks at together, about.
-SLICE = 512
+SLICE = 2048
 #: 64-bit words of an odd sketch.
 SKETCH = 16
 _ROWS = 64
@@ -235,8 +235,7 @@ def place_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) ->
     # last pass: group pairs across components
     open_ = open_.join(groups.select("gid", "sketch"), "gid")
     # a slice of a list on one side meets the whole list on the other, slice by slice in tasks of their own
-    slices = F.sequence(F.lit(0), F.ceil(F.col("l") / SLICE).cast("int") - 1)
-    left, right = (open_.select("tok", slot.alias("slot"), *[F.col(c).alias(c + s) for c in ("gid", "n", "p", "r0", "r1", "sketch")]) for s, slot in (("x", _slice()), ("y", F.explode(slices))))
+    left, right = (open_.select("tok", slot.alias("slot"), *[F.col(c).alias(c + s) for c in ("gid", "n", "p", "r0", "r1", "sketch")]) for s, slot in (("x", _slice()), ("y", F.explode(_slots()))))
     apart = F.expr("gidx < gidy AND NOT (r0x = r1x AND r0y = r1y AND r0x = r0y) AND " + _may_link("nx", "px", "ny", "py", percent) + " AND " + _close("sketchx", "nx", "sketchy", "ny", percent))
     crossing = left.join(right, (left["tok"] == right["tok"]) & (left["slot"] == right["slot"]) & apart).drop("tok", "slot")
     # shingles of a pair that pass come first among those it shares: up to the last of them the overlap is known
@@ -271,29 +270,31 @@ def _slice(turn: int = 0) -> Column:
     return F.pmod(F.xxhash64("gid", F.lit(turn)), F.ceil(F.col("l") / SLICE)).cast("int")
 
 
-def _best(lists: DataFrame, **largest: Column) -> DataFrame:
-    """(tok, ...): the largest of some columns over each list, by partial maxima."""
-    return lists.groupBy("tok").agg(*[F.max(c).alias(name) for name, c in largest.items()])
+def _slots() -> Column:
+    """All slices of a list."""
+    return F.sequence(F.lit(0), F.ceil(F.col("l") / SLICE).cast("int") - 1)
 
 
 def _meetings(lists: DataFrame, turn: int | None, percent: int) -> DataFrame:
     """Pairs (hub, gid) of groups to try: a few for each posting.  Without a turn no component is known yet.
 
-    What a whole list must agree on comes from partial maxima; neighbours are those of a slice of it.
+    A list's hub comes from partial maxima and goes to each of its slices; neighbours,
+    and the best members outside the hub's component, are those of a slice.  The
+    postings are shuffled once, by list and slice.
     """
     if turn is None:
         lists, order, second = lists.withColumns({"r0": F.col("gid"), "r1": F.col("gid")}), ("n", "gid"), None
     else:
         order, second = (F.xxhash64("gid", "tok", F.lit(turn)), "gid"), F.col("weight") if turn == 0 else F.xxhash64("gid", F.lit(turn))
     who = [F.col(c).alias(c) for c in ("gid", "n", "p", "r0", "r1")]
-    hubs = _best(lists, hub=F.struct(F.col("weight").alias("w"), *who)).withColumn("hub", F.col("hub").dropFields("w"))
-    near = F.lag(F.struct(*who)).over(Window.partitionBy("tok", "_slice").orderBy(*order))
-    met = lists.withColumn("_slice", _slice(turn or 0)).withColumn("near", near).drop("_slice").join(hubs, "tok")
+    hubs = lists.groupBy("tok").agg(F.max(F.struct(F.col("weight").alias("w"), *who)).alias("hub"), F.first("l").alias("l"))
+    hubs = hubs.select("tok", F.explode(_slots()).alias("slot"), F.col("hub").dropFields("w").alias("hub"))
+    over = Window.partitionBy("tok", "slot")
+    met = lists.withColumn("slot", _slice(turn or 0)).withColumn("near", F.lag(F.struct(*who)).over(over.orderBy(*order))).join(hubs, ["tok", "slot"])
     others = [F.col("hub"), F.col("near")]
     if second is not None:
         outside = F.expr("NOT (r0 = r1 AND hub.r0 = hub.r1 AND r0 = hub.r0)")
-        far = _best(lists.join(hubs, "tok").where(outside), second=F.struct(second.alias("w"), *who))
-        met = met.join(far.withColumn("second", F.col("second").dropFields("w")), "tok", "left")
+        met = met.withColumn("second", F.max(F.when(outside, F.struct(second.alias("w"), *who))).over(over)).withColumn("second", F.col("second").dropFields("w"))
         others.append(F.col("second"))
     met = met.select("gid", "n", "p", "r0", "r1", F.explode(F.array(*others)).alias("o")).where("o IS NOT NULL AND o.gid <> gid AND NOT (r0 = r1 AND o.r0 = o.r1 AND r0 = o.r0)")
     return met.where(_may_link("o.n", "o.p", "n", "p", percent)).select(F.col("o.gid").alias("hub"), "gid")
