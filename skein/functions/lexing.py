@@ -22,17 +22,33 @@ _GAP = r"[^\p{L}\p{N}\p{M}\p{Co}]+"
 
 def _accents() -> tuple[str, str]:
     """Letters that are a base letter with marks, and their base letters."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x250)]
-    pairs = [(a, b[0]) for a, b in pairs if len(b) > 1 and all(unicodedata.combining(m) for m in b[1:])]
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    # beyond U+024F letters of several marks keep them
+    pairs = [(a, b[0]) for a, b in pairs if len(b) > 1 and all(unicodedata.combining(m) for m in b[1:]) and (len(b) == 2 or ord(a) < 0x250)]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 _ACCENTED, _PLAIN = _accents()
 
 
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What case folding does to lower-case letters: those that become one letter, these, and those that become several."""
+    low = [c for c in map(chr, range(0x80, 0x10000)) if len(c.lower()) == 1 and not 0xD800 <= ord(c) < 0xE000]
+    made = {c.lower(): c.lower().casefold() for c in low if c.lower().casefold() != c.lower()}
+    one = {a: b for a, b in made.items() if len(b) == 1}
+    return "".join(one), "".join(one.values()), {a: b for a, b in made.items() if len(b) > 1 and a != "ß"}
+
+
+_FOLDED, _FOLDS_TO, _SPELLED_OUT = _folds()
+
+
 def fold(text: Column) -> Column:
-    """Case folding: lower case, with sharp s spelled out."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, letters of one folding made equal, and sharp s, ligatures and their like spelled out."""
+    low = F.lower(text)
+    one = F.replace(F.translate(low, _FOLDED, _FOLDS_TO), F.lit("ß"), F.lit("ss"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _SPELLED_OUT.items()])
+    several = F.aggregate(pairs, one, lambda t, p: F.replace(t, p["a"], p["b"]))
+    return F.when(F.length(low) == F.octet_length(low), low).when(one.rlike(f"[{''.join(_SPELLED_OUT)}]"), several).otherwise(one)
 
 
 def tokens(text: Column) -> Column:
@@ -66,7 +82,7 @@ def phrases(query: str) -> list[list[str]]:
     import regex
 
     out = []
-    for t in regex.findall(TOKEN, query.lower().replace("ß", "ss")):
+    for t in regex.findall(TOKEN, query.casefold()):
         t = t.strip(EDGES).translate(str.maketrans(_ACCENTED, _PLAIN))
         run = [x for x in regex.split(_GAP, t) if x]
         if run and run not in out:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 OPEN = ("queued", "running")
+#: Nodes of a source's minimal scope from which on it is shown as truncated.
+MOST_NODES = 1000
 
 
 def source_stats(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -112,6 +114,14 @@ def minimal_cover(files: DataFrame) -> DataFrame:
     return nodes.join(covered, ["source_id", "path", "kind"], "left_anti")
 
 
+def capped_cover(cover: DataFrame, most: int = MOST_NODES) -> DataFrame:
+    """(source_id, path, kind, truncated): a source's cover, or, where it has more than ``most`` nodes, one row that says so and selects nothing."""
+    sizes = cover.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
+    kept = cover.join(sizes.where(F.col("_n") <= most), "source_id", "left_semi").select("source_id", "path", "kind", F.lit(False).alias("truncated"))
+    none = F.lit(None).cast("string")
+    return kept.unionByName(sizes.where(F.col("_n") > most).select("source_id", none.alias("path"), none.alias("kind"), F.lit(True).alias("truncated")))
+
+
 def run_counters(outcomes: DataFrame) -> DataFrame:
     """Per source: files scanned, indexed and missing of one run, from rows (source_id, action)."""
     n = lambda a: F.count_if(F.col("action") == a)

@@ -193,6 +193,10 @@ FROM active a LEFT JOIN vectors v USING (chunk_id) GROUP BY ALL""",
     "scope_minimal_cover": _ROLL + """ SELECT source_id, path, kind FROM (
   SELECT source_id, dir AS path, 'directory' AS kind FROM full_ UNION ALL SELECT source_id, relative_path, 'file' FROM sc WHERE selected) n
 WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.source_id = n.source_id AND starts_with(n.path, f.dir || '/'))""",
+    "scope_truncation": _ROLL + """, cover AS (SELECT source_id, path, kind, count(*) OVER (PARTITION BY source_id) AS n FROM (
+  SELECT source_id, dir AS path, 'directory' AS kind FROM full_ UNION ALL SELECT source_id, relative_path, 'file' FROM sc WHERE selected) n
+  WHERE NOT EXISTS (SELECT 1 FROM full_ f WHERE f.source_id = n.source_id AND starts_with(n.path, f.dir || '/')))
+SELECT source_id, path, kind, false AS truncated FROM cover WHERE n <= 12 UNION ALL SELECT DISTINCT source_id, NULL, NULL, true FROM cover WHERE n > 12""",
     "root_overlap": _ROOTS + " SELECT a.id AS outer_id, b.id AS inner_id FROM roots a JOIN roots b ON a.id <> b.id AND (b.path = a.path OR starts_with(b.path, a.path || '/'))",
     "source_registration": _ROOTS + """ SELECT n.id, CASE WHEN n.id = 'src5' THEN 'id exists' WHEN n.id = 'src8' THEN 'id repeats' ELSE 'root overlaps another' END AS why
 FROM (SELECT * FROM roots UNION ALL SELECT id, '/elsewhere' FROM roots WHERE id = 'src8') n

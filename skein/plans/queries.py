@@ -524,6 +524,11 @@ def scope_minimal_cover(t: Tables) -> DataFrame:
     return reports.minimal_cover(_scoped(t))
 
 
+@query
+def scope_truncation(t: Tables) -> DataFrame:
+    return reports.capped_cover(reports.minimal_cover(_scoped(t)), 12)
+
+
 # -- catalog --------------------------------------------------------------
 
 

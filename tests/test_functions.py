@@ -72,3 +72,14 @@ def test_bm25_is_what_fts5_says(spark):
         assert got.keys() == want.keys()
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert lexical.bm25(index, []).count() == 0
+
+
+def test_case_folding_is_full(spark):
+    texts = ["Straße STRASSE ẞ", "ﬁne ﬂow ﬀ", "ſecret ΣΊΣΥΦΟΣ ς", "İstanbul", "ŉ ǰ ΐ և", "plain ASCII", "", "ᾳ Ὠ ꭰ", "É é"]
+    got = [r.f for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(lx.fold(F.col("t")).alias("f")).collect()]
+    assert got == [t.casefold() for t in texts]
+
+
+def test_marks_go_from_latin_letters(spark):
+    got = spark.createDataFrame([("été ḿ ṡ ế đ ǖ",)], "t string").select(lx.strip_accents(F.col("t")).alias("t")).first().t
+    assert got == "ete m s ế đ u"
