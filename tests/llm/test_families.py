@@ -1,4 +1,4 @@
-"""Frequent shingles' lists that are looked at in slices lose no link."""
+"""Families of near copies with several edits: the components are those of all pairs."""
 
 import itertools
 from random import Random
@@ -6,8 +6,7 @@ from random import Random
 from skein.llm import jaccard_join
 
 
-def test_small_slices_find_the_same_components(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "SLICE", 4)
+def test_families_are_the_components_of_all_pairs(spark):
     rng = Random(8)
     rows = []
     for family in range(3):
