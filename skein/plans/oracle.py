@@ -1,12 +1,11 @@
-"""SQL of the registered queries, on the test tables.
-
-Chunkers have none: their state runs along the text, so tests hold them against
-written expectations.
-"""
+"""SQL of the registered queries, on the test tables."""
 
 from __future__ import annotations
 
-from .tables import PRELUDE
+from ..functions.chunking import Limits
+from ..functions.lexing import INPUT_VERSION
+from .chunk_sql import chunks_sql
+from .tables import IDENTITY, PRELUDE
 
 _LEX = """, flat AS (
   SELECT chunk_id, field, coalesce(string_agg(token, ' ' ORDER BY pos), '') AS t, count(token) AS n FROM toks LEFT JOIN lex USING (chunk_id, field) GROUP BY 1, 2
@@ -233,4 +232,13 @@ _EDITED = PRELUDE.replace(
     "SELECT doc_id || ':' || CASE WHEN doc_id % 9 = 4 THEN 9 ELSE g END || ':0' AS chunk_id, doc_id AS source_file_id, g AS generation, 0 AS ordinal, CASE WHEN doc_id % 9 = 4 THEN 'release notes: ' ELSE '' END || text AS text,",
 ).replace("[1 + doc_id % 2, 0] ELSE [1 + doc_id % 2] END) AS g FROM documents)", "[1 + doc_id % 2] ELSE [1 + doc_id % 2] END) AS g FROM documents WHERE doc_id % 9 = 4 OR doc_id % 11 <> 5)")
 
-ORACLE = {name: PRELUDE + body for name, body in _BODY.items()} | {"segmented_bm25": _EDITED + _BODY["bm25_four_field"], "fts_blockmax": PRELUDE + _BODY["fts_topk"]}
+_PREFIX = f"'{INPUT_VERSION}' || chr(0) || '{IDENTITY}' || chr(0)"
+_CHUNKS = {
+    "chunk_documents_plain": chunks_sql("SELECT doc_id AS source_file_id, lang || '/doc_' || doc_id || '.txt' AS relative_path, text AS content FROM documents", Limits(), _PREFIX),
+    "chunk_markdown": chunks_sql(
+        """SELECT conv_id AS source_file_id, 'chats/' || conv_id || '.md' AS relative_path,
+    '# Chat ' || conv_id || chr(10) || chr(10) || string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id""",
+        Limits(400, 600, "length", 40), _PREFIX),
+}
+
+ORACLE = {name: PRELUDE + body for name, body in _BODY.items()} | _CHUNKS | {"segmented_bm25": _EDITED + _BODY["bm25_four_field"], "fts_blockmax": PRELUDE + _BODY["fts_topk"]}
