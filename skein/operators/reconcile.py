@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chunking import Limits
+
 STABLE_SECONDS = 30
 CONFIRMATIONS = 2
 
@@ -89,6 +91,21 @@ def rechunk_plan(reasons: DataFrame, files: DataFrame) -> DataFrame:
     return told.join(marked, "source_id", "left").groupBy("outcome").agg(F.count(F.lit(1)).alias("n_sources"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
 
 
+def rechunk(reasons: DataFrame, files: DataFrame, jobs: DataFrame, old: Limits | None, new: Limits, now: Column, why: str) -> tuple[DataFrame, DataFrame] | None:
+    """(files, new jobs) of a change of chunk settings, None where nothing changes.
+
+    Every file with an active generation is marked, also those of skipped
+    sources, which come later; a source without a reason against it (see
+    access.eligibility) gets a job unless one is open.
+    """
+    if old == new:
+        return None
+    marked = files.withColumn("rechunk_required", (F.col("active_generation") > 0) | F.coalesce("rechunk_required", F.lit(False)))
+    busy = jobs.where("status IN ('queued', 'running')").select("source_id").distinct()
+    queued = reasons.where("why_not IS NULL").select(F.col("id").alias("source_id")).join(busy, "source_id", "left_anti")
+    return marked, queued.select("source_id", now.alias("requested_at"), F.lit("queued").alias("status"), F.lit(why).alias("reason"))
+
+
 def due(last_scan: Column, last_error: Column, now: Column, interval: int) -> tuple[Column, Column]:
     """(next time, whether it is due): an hour at least after an error that needs the provider's account settled."""
     wait = F.greatest(F.lit(interval), retry_delay(last_error))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .reconcile import retry_delay
+
 OPEN = ("queued", "running")
+#: Seconds from which on an open job counts as stuck.
+STUCK_SECONDS = 900
 #: Nodes of a source's minimal scope from which on it is shown as truncated.
 MOST_NODES = 1000
 
@@ -53,11 +59,15 @@ def recent_closed(jobs: DataFrame, k: int = 10) -> DataFrame:
     return last.agg(F.count_if(F.col("status") == "succeeded").alias("n_succeeded"), F.count_if(F.col("status") == "failed").alias("n_failed"))
 
 
-def stuck(jobs: DataFrame, now: str, seconds: int = 900) -> DataFrame:
-    """Open jobs that have waited or run too long, with their age."""
+def _age(now: str) -> Column:
+    """Seconds for which a job has run or waited."""
     since = F.when(F.col("status") == "running", F.coalesce("started_at", "requested_at")).otherwise(F.col("requested_at"))
-    age = F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(since)
-    return jobs.where(F.col("status").isin(*OPEN)).withColumn("age_seconds", age).where(F.col("age_seconds") > seconds)
+    return F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(since)
+
+
+def stuck(jobs: DataFrame, now: str, seconds: int = STUCK_SECONDS) -> DataFrame:
+    """Open jobs that have waited or run too long, with their age."""
+    return jobs.where(F.col("status").isin(*OPEN)).withColumn("age_seconds", _age(now)).where(F.col("age_seconds") > seconds)
 
 
 def doctor(sources: DataFrame, files: DataFrame, active: DataFrame, consent: str) -> DataFrame:
@@ -79,6 +89,51 @@ def doctor(sources: DataFrame, files: DataFrame, active: DataFrame, consent: str
     return rows.withColumn("verdict", verdict)
 
 
+def health_report(sources: DataFrame, files: DataFrame, active: DataFrame, jobs: DataFrame, states: DataFrame, consent: str, now: str, running: bool | None, seconds: int = STUCK_SECONDS) -> DataFrame:
+    """One row (status, message, counts) of the health of a catalog.
+
+    Of the states that make a search empty or old only the first is told, in the
+    order below; so are an account to settle before other file errors, and stuck
+    jobs before open ones.  Any error outweighs any warning.  ``states`` are those of
+    vectors.integrity; ``running`` tells whether jobs are being worked off, None if
+    that is not known.
+    """
+    enabled = sources.where("enabled")
+    count = lambda name: F.count(F.lit(1)).alias(name)
+    broken = files.where("status = 'error'").join(enabled.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    parts = [
+        enabled.agg(count("n_enabled"), F.count_if(F.col("consent_identity") == consent).alias("n_consent_current"), F.count_if("auto_sync").alias("n_auto_sync")),
+        broken.agg(count("n_file_errors"), F.count_if(retry_delay(F.col("last_error")) > 0).alias("n_action_required")),
+        active.agg(count("n_active_chunks")),
+        jobs.where(F.col("status").isin(*OPEN)).agg(count("n_open"), F.count_if(_age(now) > seconds).alias("n_stuck")),
+        states.agg(F.count_if(F.col("state") != "found").alias("n_failing")),
+    ]
+    # each part is one row
+    row = reduce(lambda a, b: a.join(b, "_k"), [p.withColumn("_k", F.lit(0)) for p in parts]).drop("_k")
+    n = F.col
+    # fixed values: what the report says
+    search = (
+        F.when(n("n_enabled") == 0, "no enabled knowledge source")
+        .when(n("n_active_chunks") == 0, "no active knowledge chunks")
+        .when(n("n_consent_current") != n("n_enabled"), "one or more source consents are stale")
+        .when(n("n_auto_sync") != n("n_enabled"), "one or more enabled sources are not set to auto-sync")
+    )
+    account = "provider credentials, account balance, quota, or model access requires attention before failed files can be retried"
+    failed = F.when(n("n_action_required") > 0, account).when(n("n_file_errors") > 0, "one or more source files failed to index")
+    worker = {True: None, False: "knowledge coordinator is not running", None: "coordinator status could not be determined"}[running]
+    waiting = F.when((n("n_stuck") == 0) & (n("n_open") > 0), "knowledge tasks are still open" if running else "knowledge tasks remain open while the coordinator is not running")
+    stopped = F.when(n("n_stuck") > 0, "one or more knowledge tasks appear stuck")
+    vectors = F.when(n("n_failing") > 0, "one or more active vectors are missing or invalid")
+    none = F.lit(None).cast("string")
+    errors = F.array_compact(F.array(stopped, none if running else waiting, vectors))
+    warnings = F.array_compact(F.array(search, failed, F.lit(worker).cast("string"), waiting if running else none))
+    told = F.array_join(F.concat(errors, warnings), "; ")
+    return row.withColumns({
+        "status": F.when(F.size(errors) > 0, "error").when(F.size(warnings) > 0, "warning").otherwise("ok"),
+        "message": F.when(told == "", "knowledge backend is ready").otherwise(F.concat(F.lit("knowledge backend has errors: "), told)),
+    })
+
+
 def preview(files: DataFrame, target: int, price_per_million: float) -> DataFrame:
     """Per source: bytes, estimated chunks and tokens, and the cost with four decimals."""
     return files.groupBy("source_id").agg(

@@ -163,6 +163,10 @@ UNION ALL SELECT 'fusion', chunk_id, rrf_rank FROM fused WHERE rrf_rank <= 10 UN
     "void_tombstones": "SELECT source_id, count(*) AS n, sum(source_file_id)::BIGINT AS ids FROM vectors WHERE NOT (source_file_id % 3 = 0 AND source_file_id % 2 = 1) GROUP BY 1",
     "rechunk_plan": """SELECT coalesce(why_not, 'queued') AS outcome, count(*) AS n_sources, coalesce(sum(n), 0)::BIGINT AS n_files
 FROM reasons r LEFT JOIN (SELECT source_id, count(*) AS n FROM files WHERE active_generation > 0 GROUP BY 1) f ON f.source_id = r.id GROUP BY 1""",
+    "rechunk_marks": """SELECT f.source_id, count(*) FILTER (WHERE active_generation > 0 OR rechunk_required) AS n_marked,
+  CASE WHEN bool_or(why_not IS NULL) AND f.source_id NOT IN (SELECT source_id FROM jobs WHERE status = 'queued') THEN epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT ELSE -1 END AS requested_at,
+  CASE WHEN bool_or(why_not IS NULL) AND f.source_id NOT IN (SELECT source_id FROM jobs WHERE status = 'queued') THEN 'queued' END AS job
+FROM files f JOIN reasons r ON r.id = f.source_id GROUP BY 1""",
     "catalog_upsert": "SELECT source_id, CASE WHEN id % 4 = 0 THEN 'indexed' ELSE status END AS status, count(*) AS n, sum(size)::BIGINT AS n_bytes FROM files GROUP BY ALL",
     "cascade_delete": "SELECT c.chunk_id FROM chunks c JOIN files f ON f.id = c.source_file_id JOIN sources s ON s.id = f.source_id WHERE s.enabled",
     "latest_per_source": "SELECT source_id, max(id) AS id, arg_max(status, id) AS status FROM jobs GROUP BY 1",
@@ -182,6 +186,29 @@ FROM files f LEFT JOIN chunks c ON c.source_file_id = f.id AND c.generation = f.
   SELECT count(*) AS n_active_chunks FROM active)""",
     "vector_integrity": """SELECT a.source_id, CASE WHEN v.chunk_id IS NULL THEN 'missing' WHEN v.embedding_input_hash <> a.embedding_input_hash OR embedding_space_id <> 'space-a' THEN 'invalid' ELSE 'found' END AS state, count(*) AS n
 FROM active a LEFT JOIN vectors v USING (chunk_id) GROUP BY ALL""",
+    "doctor_report": """, seen AS (
+  SELECT place, count(*) AS n_enabled, count(*) FILTER (WHERE consent_identity = 'current') AS n_consent_current, count(*) FILTER (WHERE auto_sync) AS n_auto_sync
+  FROM sources, (VALUES ('stopped'), ('running')) p(place) WHERE enabled AND (place = 'stopped' OR consent_identity = 'current') GROUP BY 1
+), broken AS (
+  SELECT count(*) AS e, count(*) FILTER (WHERE regexp_matches(last_error, 'provider action required|HTTP 40[123]')) AS a FROM files WHERE status = 'error' AND source_id IN (SELECT id FROM sources WHERE enabled)
+), undone AS (
+  SELECT count(*) AS o, count(*) FILTER (WHERE epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(CASE WHEN status = 'running' THEN coalesce(started_at, requested_at) ELSE requested_at END) > 900) AS s
+  FROM jobs WHERE status IN ('queued', 'running')
+), failing AS (
+  SELECT count(*) AS v FROM active a LEFT JOIN vectors v USING (chunk_id) WHERE v.chunk_id IS NULL OR v.embedding_input_hash <> a.embedding_input_hash OR embedding_space_id <> 'space-a'
+), n AS (
+  SELECT seen.*, (SELECT count(*) FROM active) AS n_active_chunks, if(place = 'stopped', e, 0) AS n_file_errors, if(place = 'stopped', a, 0) AS n_action_required,
+         if(place = 'stopped', o, 0) AS n_open, if(place = 'stopped', s, 0) AS n_stuck, if(place = 'stopped', v, 0) AS n_failing FROM seen, broken, undone, failing
+), told AS (
+  SELECT *, list_filter([CASE WHEN n_stuck > 0 THEN 'one or more knowledge tasks appear stuck' WHEN n_open > 0 AND place = 'stopped' THEN 'knowledge tasks remain open while the coordinator is not running' END,
+      CASE WHEN n_failing > 0 THEN 'one or more active vectors are missing or invalid' END], lambda x: x IS NOT NULL) AS errors,
+    list_filter([CASE WHEN n_enabled = 0 THEN 'no enabled knowledge source' WHEN n_active_chunks = 0 THEN 'no active knowledge chunks' WHEN n_consent_current <> n_enabled THEN 'one or more source consents are stale'
+      WHEN n_auto_sync <> n_enabled THEN 'one or more enabled sources are not set to auto-sync' END,
+      CASE WHEN n_action_required > 0 THEN 'provider credentials, account balance, quota, or model access requires attention before failed files can be retried' WHEN n_file_errors > 0 THEN 'one or more source files failed to index' END,
+      CASE WHEN place = 'stopped' THEN 'knowledge coordinator is not running' END, CASE WHEN n_stuck = 0 AND n_open > 0 AND place = 'running' THEN 'knowledge tasks are still open' END], lambda x: x IS NOT NULL) AS warnings FROM n
+)
+SELECT * EXCLUDE (errors, warnings), CASE WHEN len(errors) > 0 THEN 'error' WHEN len(warnings) > 0 THEN 'warning' ELSE 'ok' END AS status,
+  CASE WHEN len(errors || warnings) = 0 THEN 'knowledge backend is ready' ELSE 'knowledge backend has errors: ' || array_to_string(errors || warnings, '; ') END AS message FROM told""",
     "stuck_tasks": """SELECT id, source_id, status, age_seconds FROM (
   SELECT *, (epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(CASE WHEN status = 'running' THEN coalesce(started_at, requested_at) ELSE requested_at END))::BIGINT AS age_seconds FROM jobs WHERE status IN ('queued', 'running')) WHERE age_seconds > 900""",
     "retry_due": """SELECT id, coalesce(next_at, -1) AS next_at, coalesce(next_at <= epoch(TIMESTAMP '2024-02-01 00:00:00'), true) AS due FROM (

@@ -423,6 +423,16 @@ def rechunk_plan(t: Tables) -> DataFrame:
     return reconcile.rechunk_plan(access.eligibility(t.sources(), CONSENT), t.files())
 
 
+@query
+def rechunk_marks(t: Tables) -> DataFrame:
+    """Per source what a change of chunk settings marks, and whether it gets a job; jobs that run are not open here."""
+    jobs = t.jobs().withColumn("status", F.when(F.col("status") == "running", "failed").otherwise(F.col("status")))
+    marked, new = reconcile.rechunk(access.eligibility(t.sources(), CONSENT), t.files(), jobs, Limits(), Limits(1200), F.lit(NOW).cast("timestamp"), "chunk settings changed")
+    told = marked.groupBy("source_id").agg(F.count_if("rechunk_required").alias("n_marked"))
+    asked = new.select("source_id", F.unix_seconds("requested_at").alias("requested_at"), F.col("status").alias("job"))
+    return told.join(asked, "source_id", "left").withColumn("requested_at", F.coalesce("requested_at", F.lit(-1).cast("long")))
+
+
 @query
 def catalog_upsert(t: Tables) -> DataFrame:
     """Files of scanned sources replace those with their id."""
@@ -486,6 +496,16 @@ def doctor_counts(t: Tables) -> DataFrame:
     return reports.doctor(t.sources(), t.files(), access.active_chunks(t.chunks(), t.files(), t.sources()), CONSENT)
 
 
+@query
+def doctor_report(t: Tables) -> DataFrame:
+    """The health report of a catalog whose jobs nobody works off, and of one without open jobs or failing vectors."""
+    live = access.active_chunks(t.chunks(), t.files(), t.sources())
+    states = vectors.integrity(live, t.vectors(), SPACE)
+    stopped = reports.health_report(t.sources(), t.files(), live, t.jobs(), states, CONSENT, NOW, False)
+    running = reports.health_report(t.sources().where(F.col("consent_identity") == CONSENT), t.files().where("status <> 'error'"), live, t.jobs().where("status = 'succeeded'"), states.where("state = 'found'"), CONSENT, NOW, True)
+    return stopped.withColumn("place", F.lit("stopped")).unionByName(running.withColumn("place", F.lit("running")))
+
+
 @query
 def vector_integrity(t: Tables) -> DataFrame:
     live = access.active_chunks(t.chunks(), t.files(), t.sources())
