@@ -95,6 +95,29 @@ def removal_refusals(sources: DataFrame, jobs: DataFrame, ids: Sequence[str]) ->
     return held.select("id", why.alias("why")).where("why IS NOT NULL")
 
 
+def rescope(sources: DataFrame, jobs: DataFrame, scopes: DataFrame, consent: str) -> tuple[DataFrame, DataFrame]:
+    """(sources, refused (id, why)) after new scopes (id, include_patterns).
+
+    A source takes its scope with the given consent and waits for the clean-up of
+    what left it; refused are unknown sources, ids that stand twice, and those with
+    an open job.
+    """
+    busy = jobs.where(F.col("status").isin(*OPEN)).select(F.col("source_id").alias("id")).distinct().withColumn("_busy", F.lit(True))
+    asked = scopes.groupBy("id").agg(F.count(F.lit(1)).alias("_times"), F.first("include_patterns").alias("_scope"))
+    asked = asked.join(sources.select("id", F.lit(True).alias("_known")), "id", "left").join(busy, "id", "left")
+    asked = asked.withColumn("why", F.when(F.col("_known").isNull(), "unknown").when(F.col("_times") > 1, "id repeats").when(F.col("_busy"), "a job is open"))
+    out = sources.join(asked.where("why IS NULL").select("id", "_scope", F.lit(True).alias("_new")), "id", "left")
+    taken = {"include_patterns": F.col("_scope"), "consent_identity": F.lit(consent), "scope_cleanup_pending": F.lit(True)}
+    return out.withColumns({k: F.when(F.col("_new"), v).otherwise(F.col(k)) for k, v in taken.items()}).select(*sources.columns), asked.where("why IS NOT NULL").select("id", "why")
+
+
+def finish_cleanup(sources: DataFrame, queued: DataFrame) -> DataFrame:
+    """Sources no longer pending once no tombstone of a scope clean-up is left of theirs; ``queued`` are the tombstones."""
+    left = queued.where("scope_cleanup").select(F.col("source_id").alias("id")).distinct().withColumn("_left", F.lit(True))
+    out = sources.join(left, "id", "left")
+    return out.withColumn("scope_cleanup_pending", F.col("scope_cleanup_pending") & F.coalesce("_left", F.lit(False))).select(*sources.columns)
+
+
 def tombstones(vectors: DataFrame, now: Column) -> DataFrame:
     """Tombstones of the vectors of sources that go."""
     return vectors.select("chunk_id", "source_id", F.lit(True).alias("scope_cleanup"), now.alias("queued_at"))

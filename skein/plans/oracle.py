@@ -240,6 +240,10 @@ SELECT DISTINCT source_id, CASE WHEN kind = 'file' THEN path ELSE path || '/' ||
     "removal_refusals": """SELECT * FROM (SELECT a.id, CASE WHEN s.id IS NULL THEN 'unknown' WHEN a.id IN (SELECT source_id FROM jobs WHERE id % 7 = 0 AND status IN ('queued', 'running')) THEN 'a job is open'
     WHEN scope_cleanup_pending THEN 'a scope cleanup is pending' END AS why
   FROM (VALUES ('src2'), ('src4'), ('src8'), ('src17'), ('nowhere')) a(id) LEFT JOIN sources s USING (id)) WHERE why IS NOT NULL""",
+    "scope_change": """SELECT s.id, CASE WHEN busy THEN consent_identity ELSE 'renewed' END AS consent_identity, NOT busy AS narrowed, (scope_cleanup_pending OR NOT busy) AND pending AS scope_cleanup_pending,
+  CASE WHEN busy THEN 'a job is open' END AS why
+FROM (SELECT *, id IN (SELECT source_id FROM jobs WHERE status IN ('queued', 'running') AND requested_at >= TIMESTAMP '2024-01-31 23:50:00') AS busy,
+             id IN (SELECT source_id FROM vectors WHERE embedding_space_id = 'space-b' AND embedding_input_hash = 'changed') AS pending FROM sources) s""",
     "job_recovery": """SELECT source_id, CASE WHEN error IS NULL THEN status ELSE 'failed' END AS status, error, count(*) AS n FROM (
   SELECT j.source_id, j.status, CASE WHEN j.status IN ('queued', 'running') THEN CASE WHEN NOT s.enabled THEN 'source is disabled during indexer recovery'
     WHEN s.scope_cleanup_pending THEN 'source scope cleanup is pending during indexer recovery' END END AS error

@@ -606,6 +606,17 @@ def removal_refusals(t: Tables) -> DataFrame:
     return catalog.removal_refusals(t.sources(), t.jobs().where("id % 7 = 0"), ["src2", "src4", "src8", "src17", "nowhere"])
 
 
+@query
+def scope_change(t: Tables) -> DataFrame:
+    """Every source is narrowed; those with a job of the last ten minutes open are refused, and of the rest, those whose vectors were queued for deletion stay pending."""
+    late = t.jobs().where(F.col("requested_at") >= F.lit("2024-01-31 23:50:00").cast("timestamp"))
+    scopes = t.sources().select("id", F.array(F.lit("notes/**")).alias("include_patterns"))
+    narrowed, refused = catalog.rescope(t.sources(), late, scopes, "renewed")
+    queued = t.vectors().where("embedding_space_id = 'space-b'").select("chunk_id", "source_id", (F.col("embedding_input_hash") == "changed").alias("scope_cleanup"))
+    done = catalog.finish_cleanup(narrowed, queued).select("id", "consent_identity", F.coalesce(F.array_contains("include_patterns", "notes/**"), F.lit(False)).alias("narrowed"), "scope_cleanup_pending")
+    return done.join(refused, "id", "left")
+
+
 @query
 def job_recovery(t: Tables) -> DataFrame:
     return catalog.recovered(t.jobs(), t.sources()).groupBy("source_id", "status", "error").agg(F.count(F.lit(1)).alias("n"))

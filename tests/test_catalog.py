@@ -46,3 +46,14 @@ def test_health_is_held(spark):
     now[0] = 600.0
     h.check()
     assert len(calls) == 3
+
+
+def test_scope_waits_for_its_cleanup(spark):
+    sources = spark.createDataFrame([("a", ["**/*.md"], "c", False), ("b", ["**/*.md"], "c", False), ("d", None, None, True), ("e", None, "c", False)], "id string, include_patterns array<string>, consent_identity string, scope_cleanup_pending boolean")
+    jobs = spark.createDataFrame([("b", "running"), ("a", "failed")], "source_id string, status string")
+    scopes = spark.createDataFrame([("a", ["x/**"]), ("b", ["x/**"]), ("d", ["y/**"]), ("e", ["1"]), ("e", ["2"]), ("f", ["z"])], "id string, include_patterns array<string>")
+    after, refused = catalog.rescope(sources, jobs, scopes, "new")
+    assert {r["id"]: r["why"] for r in refused.collect()} == {"b": "a job is open", "e": "id repeats", "f": "unknown"}
+    assert {r["id"]: tuple(r)[1:] for r in after.collect()} == {"a": (["x/**"], "new", True), "b": (["**/*.md"], "c", False), "d": (["y/**"], "new", True), "e": (None, "c", False)}
+    queued = spark.createDataFrame([("1", "a", False), ("2", "d", True), ("3", "d", True), ("4", "b", True)], "chunk_id string, source_id string, scope_cleanup boolean")
+    assert {r["id"]: r["scope_cleanup_pending"] for r in catalog.finish_cleanup(after, queued).collect()} == {"a": False, "b": False, "d": True, "e": False}
