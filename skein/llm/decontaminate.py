@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import sparing
 from .words import chunks, hash_words, rolling, utf8
 
 SHINGLE = 5
@@ -150,7 +151,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(SCHEMA.names, r, strict=True)) for r in rows], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_common", pa.int64()), ("n_item", pa.int64()), ("containment", pa.float64())]))
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sparing(run), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
@@ -169,7 +170,7 @@ def count_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESH
                     n[d] += 1
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=batch.schema.names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(sparing(run), out.schema)
     return out
 
 

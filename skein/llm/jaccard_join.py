@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import sparing
 from ..sources.scratch import Scratch
 from .components import components
 from .words import U64, mix, shingle_sets, utf8
@@ -82,7 +83,7 @@ def frequencies(docs: DataFrame, k: int = SHINGLE) -> np.ndarray:
         total = sum(np.frombuffer(b.as_py(), "<i4").astype(np.int64) for b in table.column("counts"))
         return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    rows = docs.select("text").mapInArrow(sparing(run), "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     out = np.zeros((_ROWS, size // _ROWS), np.int64)
     for r in rows:
         out[r["part"]] = np.frombuffer(r["counts"], "<i4")
@@ -133,7 +134,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT, k: i
                 sketches = pa.ListArray.from_arrays(pa.array(range(0, (len(sets) + 1) * SKETCH, SKETCH), pa.int32()), pa.array(odd_sketches(sets).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(gid, pa.binary()), lists, sketches], names=["doc_id", "n", "cid", "gid", "prefix", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cid binary, gid binary, prefix array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sparing(run), "doc_id long, n long, cid binary, gid binary, prefix array<long>, sketch array<long>")
 
 
 def _may_link(n1: str, p1: str, n2: str, p2: str, percent: int) -> str:
@@ -180,7 +181,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scrat
                     keep.append(100 * common >= percent * (len(x) + len(y) - common) and hashes[id(x)] == a and hashes[id(y)] == b)
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    found = both.mapInArrow(run, "u binary, v binary").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    found = both.mapInArrow(sparing(run), "u binary, v binary").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     links = scratch.save(found, "links")
     for done in (wanted, texts):
         scratch.drop(done)

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import sparing
+
 UNKNOWN = "und"
 #: Bytes of each dictionary: the documented bound of the training sample.
 DICT_BYTES = 96 << 10
@@ -120,7 +122,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
                 langs.append(names[best]), scores.append(min(1.0, margin)), accepted.append(margin >= MIN_MARGIN)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], names=out.names)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(sparing(run), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

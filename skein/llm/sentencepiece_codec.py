@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..session import sparing
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CHUNK_CHARS = 4 << 20
@@ -366,7 +368,7 @@ def encode(docs: DataFrame, path: str = MODEL, kind: str = "bpe") -> DataFrame:
                     [*part.columns, lists, pa.array(np.diff(bounds), pa.int64()), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()), pa.array([d == (t or "") for d, t in zip(decoded, texts, strict=True)], pa.bool_())], names=out.names
                 )
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(sparing(run), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that are hashed at once; a longer text makes a longer chunk.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
