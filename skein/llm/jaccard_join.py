@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -61,6 +61,8 @@ CELL_BITS = 18
 ROUNDS = 3
 #: Rows (16 bytes and a long each) whose texts are looked up by a broadcast instead of a shuffle of all texts.
 BROADCAST_ROWS = 500_000
+#: Parts in which prefixes are shuffled, one after the other, so that a part of the exchange is on disk at a time.
+SLICES = 4
 #: 64-bit words of an odd sketch.
 SKETCH = 16
 _ROWS = 64
@@ -193,21 +195,31 @@ def place_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) ->
     """(sizes, classes): (doc_id, n, cid) of each row; (cid, rep, gid, n, root) of each class, root being its component."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     sigs = scratch.save(signatures(docs, frequencies(docs, k), percent, k), "signatures")
-    slim = scratch.save(sigs.select("doc_id", "n", "cid"), "sizes")
+    own = scratch.save(sigs.drop("prefix"), "own")
     known = sigs.where("n > 0 AND doc_id IS NOT NULL")
     # a group's number is unique where a short hash may not be; a group of one class has that class's sketch
-    groups = known.groupBy(F.col("gid").alias("key")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("cid").alias("cid"), F.when(F.min("cid") == F.max("cid"), F.first("sketch")).alias("sketch"))
-    groups = scratch.save(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
+    groups = []
+    for i in range(SLICES):
+        some = known.where(_slice("gid") == i).groupBy(F.col("gid").alias("key")).agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("cid").alias("cid"), F.when(F.min("cid") == F.max("cid"), F.first("sketch")).alias("sketch"))
+        groups.append(some.withColumn("gid", F.monotonically_increasing_id() * SLICES + i))
+    groups = prefixed = scratch.save_all(groups, "prefixed")
+    scratch.drop(sigs)
+    scratch.tidy()
+    known = own.where("n > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("gid").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = scratch.save(classes.join(groups.select("key", "gid"), "key").drop("key"), "classes")
-    scratch.drop(sigs)
+    slim = scratch.save(own.select("doc_id", "n", "cid"), "sizes")
+    scratch.drop(own)
+    # prefixes are read for the postings only
+    groups = scratch.save(prefixed.select("gid", "n", "cid", "sketch"), "groups")
+    shared = _postings(prefixed, scratch, percent)
     scratch.tidy()
-    shared = _postings(groups, scratch, percent)
 
     def class_pairs(found: DataFrame) -> DataFrame:
         """Pairs (a, b, hub_b) of classes, a < b, for pairs (hub, gid) of groups."""
         x, y = (groups.select(F.col("gid").alias(g), F.col("cid").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c)) for g, c in (("hub", "x"), ("gid", "y")))
-        close = found.distinct().join(x, "hub").join(y, "gid").where(_close("sx", "nx", "sy", "ny", percent))
+        met = scratch.save(found.distinct(), "met")
+        close = met.join(x, "hub").join(y, "gid").where(_close("sx", "nx", "sy", "ny", percent))
         return close.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max(F.expr("x > y")).alias("hub_b"))
 
     # first pass: hubs, neighbours, and classes of one group
@@ -252,11 +264,17 @@ def place_classes(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) ->
     return slim, _place(placed, more, scratch)
 
 
+def _slice(key: str) -> Column:
+    """The part, of SLICES, that a key belongs to; independent of the hash by which Spark deals it."""
+    return F.pmod(F.xxhash64(key), F.lit(SLICES))
+
+
 def _postings(groups: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(tok, gid, n, p, weight) of the shingles that prefixes of two groups or more hold; weight: how long the lists of a group's prefix are."""
+    """(tok, gid, n, p, weight) of the shingles that prefixes of two groups or more hold; weight: how long the lists of a group's prefix are.  ``groups`` is dropped."""
     postings = groups.select("gid", "n", F.posexplode("prefix").alias("p", "tok"))
-    listed = postings.withColumn("l", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("l > 1")
-    listed = scratch.save(listed, "lists")
+    listed = [postings.where(_slice("tok") == i).withColumn("l", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("l > 1") for i in range(SLICES)]
+    listed = scratch.save_all(listed, "lists")
+    scratch.drop(groups)
     weight = listed.groupBy("gid").agg((F.sum("l") / F.expr(f"first(n) - ceil({percent} * first(n) / 100) + 1")).alias("weight"))
     shared = scratch.save(listed.join(weight, "gid").drop("l"), "postings")
     scratch.drop(listed)

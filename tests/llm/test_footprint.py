@@ -1,6 +1,9 @@
-"""What the operators hold beside their results: workers' memory."""
+"""What the operators hold beside their results: workers' memory, and tables on disk."""
+
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from skein import session
@@ -26,3 +29,20 @@ def test_tasks_of_the_pipeline_give_their_memory_back(spark, monkeypatch, stage)
     for run in runs:
         assert list(run(iter([]))) == []
     assert len(given) == len(runs) == 1
+
+
+def test_prefixes_are_gone_once_the_postings_stand(spark, monkeypatch):
+    roots = []
+
+    class Kept(jaccard_join.Scratch):
+        def __init__(self, *args):
+            super().__init__(*args)
+            roots.append(self.root)
+
+    monkeypatch.setattr(jaccard_join, "Scratch", Kept)
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(30 + i % 2))) for i in range(40)]
+    slim, placed = jaccard_join.place_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    tables = [pq.read_schema(f).names for root in roots for f in Path(root.removeprefix("file://")).rglob("*.parquet")]
+    assert ["doc_id", "n", "cid"] in tables and not any("prefix" in names for names in tables)
+    # groups are numbered in parts, and no number is given twice
+    assert placed.select("gid").distinct().count() == 40 and placed.select("root").distinct().count() == 20 and slim.count() == 40
