@@ -134,13 +134,17 @@ def recovered(jobs: DataFrame, sources: DataFrame) -> DataFrame:
 # -- vectors --------------------------------------------------------------
 
 
+def behind(active: DataFrame, after: tuple[str, int, int] | None) -> DataFrame:
+    """The active chunks whose (source_id, source_file_id, ordinal) is larger than a key."""
+    if not after:
+        return active
+    source, file, ordinal = after
+    return active.where(F.struct("source_id", "source_file_id", "ordinal") > F.struct(F.lit(source).alias("source_id"), F.lit(file).cast("long").alias("source_file_id"), F.lit(ordinal).cast("int").alias("ordinal")))
+
+
 def rebuild_page(active: DataFrame, after: tuple[str, int, int] | None, size: int = 256) -> DataFrame:
     """The next active chunks by (source_id, source_file_id, ordinal) behind a key."""
-    key = F.struct("source_id", "source_file_id", "ordinal")
-    if after:
-        source, file, ordinal = after
-        active = active.where(key > F.struct(F.lit(source).alias("source_id"), F.lit(file).cast("long").alias("source_file_id"), F.lit(ordinal).cast("int").alias("ordinal")))
-    return active.orderBy(key).limit(size)
+    return behind(active, after).orderBy(F.struct("source_id", "source_file_id", "ordinal")).limit(size)
 
 
 def failing_sample(states: DataFrame, size: int = SAMPLE) -> DataFrame:

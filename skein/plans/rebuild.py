@@ -1,6 +1,7 @@
 """A full rebuild of the vectors, by pages, that goes on where it was interrupted.
 
-The active chunks of eligible sources are embedded in the order of their keys.  Each
+The active chunks of eligible sources are embedded in the order of their keys.  They
+are sorted once; a page reads the files that hold its places, not all chunks.  Each
 page is a commit that holds its vectors and the key it reached, so a rebuild that
 dies begins with the next page.  When all are there, the pointer alone puts the new
 table in the old one's place.  If sources, files or chunks were written meanwhile, or
@@ -10,7 +11,9 @@ version's number.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexing import retrieval_text
@@ -24,6 +27,8 @@ PAGE = 50_000
 #: What a rebuild rests on.
 RESTS_ON = ("sources", "source_files", "chunks")
 _PART = "pages"
+#: The key of a chunk.
+_BY = ("source_id", "source_file_id", "ordinal")
 
 
 def _now(store: Store, to: Space, consent: str, page: int) -> dict:
@@ -38,6 +43,36 @@ def eligible_chunks(store: Store, consent: str) -> DataFrame:
     return access.active_chunks(store.read("chunks"), store.read("source_files"), sources)
 
 
+def _pages(chunks: DataFrame, page: int, scratch: Scratch) -> Iterator[DataFrame]:
+    """Chunks in the order of their keys, ``page`` at a time; what a page reads are the files that hold some of it."""
+    text = retrieval_text(F.col("text"), F.col("title"), F.col("heading_path"), F.col("filename"))
+    rows = chunks.select("chunk_id", *_BY, "generation", "embedding_input_hash", text.alias("embedding_text"))
+    # dealt by ranges: of two rows the one with the larger key has the larger place, though places have gaps
+    placed = scratch.save(rows.repartitionByRange(*_BY).sortWithinPartitions(*_BY).withColumn("_place", F.monotonically_increasing_id()), "sorted")
+    name = F.col("_metadata.file_name")
+    # a row for each file; within one, places have no gaps
+    held = placed.groupBy(name.alias("file")).agg(F.min("_place").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("first").collect()
+    some: list[tuple[str, int, int]] = []
+    left = page
+    for r in held:
+        at, end = r["first"], r["first"] + r["n"]
+        while at < end:
+            took = min(left, end - at)
+            some.append((r["file"], at, at + took))
+            at, left = at + took, left - took
+            if not left:
+                yield _those(placed, name, some)
+                some, left = [], page
+    if some:
+        yield _those(placed, name, some)
+
+
+def _those(placed: DataFrame, name: Column, some: list[tuple[str, int, int]]) -> DataFrame:
+    """The rows of places between bounds in some files."""
+    # a page is a run of places but for the gaps between files
+    return placed.where(name.isin([f for f, _, _ in some]) & (F.col("_place") >= some[0][1]) & (F.col("_place") < some[-1][2])).drop("_place")
+
+
 def rebuild(store: Store, to: Space, consent: str, page: int = PAGE) -> dict:
     """Embed all eligible chunks anew and put them in the old vectors' place; returns counts of pages (of this call) and chunks."""
     here = _now(store, to, consent, page)
@@ -48,21 +83,17 @@ def rebuild(store: Store, to: Space, consent: str, page: int = PAGE) -> dict:
     if not found:
         found = here | {"cursor": None, "chunks": 0}
         store.commit({"rebuilt_vectors": store.read("rebuilt_vectors").limit(0)}, store.version(), notes={"rebuild": found})
-    active, pages = eligible_chunks(store, consent), 0
-    while True:
-        base, scratch = store.version(), Scratch(store.spark, "rebuild")
+    active, pages, sorted_ = eligible_chunks(store, consent), 0, Scratch(store.spark, "rebuild")
+    behind = catalog.behind(active, tuple(found["cursor"]) if found["cursor"] else None)
+    for some in _pages(behind, page, sorted_):
+        base, scratch = store.version(), Scratch(store.spark, "page")
         if _now(store, to, consent, page) != here:
             raise Conflict("sources, files or chunks have changed during the rebuild")
-        after = tuple(found["cursor"]) if found["cursor"] else None
-        some = scratch.save(catalog.rebuild_page(active, after, page), "page")
-        told = some.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("source_id", "source_file_id", "ordinal")).alias("last")).first()
-        if not told["n"]:
-            break
-        text = retrieval_text(F.col("text"), F.col("title"), F.col("heading_path"), F.col("filename"))
-        made = scratch.save(embed_each(some.select("embedding_input_hash", text.alias("embedding_text")), to.embed), "made")
+        told = some.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*_BY)).alias("last")).first()
+        made = scratch.save(embed_each(some.select("embedding_input_hash", "embedding_text"), to.embed), "made")
         failed = made.where("vector IS NULL").first()
         if failed:
-            raise ValueError(f"page behind {after}: {failed['error']}")
+            raise ValueError(f"page behind {found['cursor']}: {failed['error']}")
         rows = some.join(made.select("embedding_input_hash", "vector"), "embedding_input_hash").withColumn("embedding_space_id", F.lit(to.space))
         found = found | {"cursor": list(told["last"]), "chunks": found["chunks"] + told["n"]}
         store.commit({"rebuilt_vectors": Change(_PART, rows)}, base, notes={"rebuild": found})
@@ -70,7 +101,10 @@ def rebuild(store: Store, to: Space, consent: str, page: int = PAGE) -> dict:
             pass
         scratch.clear()
         pages += 1
+    sorted_.clear()
     base = store.version()
+    if _now(store, to, consent, page) != here:
+        raise Conflict("sources, files or chunks have changed during the rebuild")
     if not active.join(store.read("rebuilt_vectors").select("chunk_id"), "chunk_id", "left_anti").isEmpty():
         raise ValueError("the rebuilt table lacks chunks")
     store.take_place("vectors", "rebuilt_vectors", base, RESTS_ON, {"rebuild": None})

@@ -89,3 +89,19 @@ def test_is_refused_where_something_moved(store):
     with pytest.raises(snapshots.Conflict):
         rebuild(Moved(store.spark, store.root), Space(lengths, "i", "new"), "c", page=100)
     assert held(store) == before
+
+
+def test_a_page_reads_only_its_files(spark, store, monkeypatch):
+    """All chunks are sorted once; each page is whole and in order, from the files that hold it."""
+    from skein.plans import rebuild as r
+    from skein.sources.scratch import Scratch
+
+    chunks, calls = r.eligible_chunks(store, "c"), []
+    want = [tuple(x) for x in chunks.select(*r._BY).orderBy(*r._BY).collect()]
+    pages = list(r._pages(chunks.repartition(5), 7, Scratch(spark, "test")))
+    assert [[tuple(x) for x in p.select(*r._BY).orderBy(*r._BY).collect()] for p in pages] == [want[a : a + 7] for a in range(0, len(want), 7)]
+    read = [{x[0] for x in p.select("_metadata.file_name").collect()} for p in r._pages(chunks, 7, Scratch(spark, "test"))]
+    assert all(len(x) <= 2 for x in read) and len(read) == 6
+    monkeypatch.setattr(r, "eligible_chunks", lambda *a: calls.append(a) or chunks)
+    monkeypatch.setattr(r.catalog, "rebuild_page", lambda *a: pytest.fail("a page was taken from all chunks"))
+    assert rebuild(store, Space(embedder(), "i", "new"), "c", page=7) == {"pages": 6, "chunks": 36} and len(calls) == 1
